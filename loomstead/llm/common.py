@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words are runs of anything but the six ASCII white-space characters.
@@ -44,7 +45,7 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
     """Cut a batch so that the texts of a slice hold about ``limit`` bytes (one row at least)."""
-    lengths = pa.compute.binary_length(batch.column(column).cast(pa.binary())).fill_null(0)
+    lengths = pc.binary_length(batch.column(column).cast(pa.binary())).fill_null(0)
     ends = np.cumsum(lengths.to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
