@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstead.llm import mixing, packing, simhash, token_files, topk, warc
+from loomstead.llm import mixing, packing, simhash, substring, token_files, topk, warc
 
 
 def _vocabulary(name: str) -> str:
@@ -18,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(spark, _table(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -57,7 +61,7 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_n
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_warc, op6_token_files, op7_packing, op8_mixing, op9_simhash, op10_topk)}
+    return {f.__name__: f for f in (op2_substring, op3_warc, op6_token_files, op7_packing, op8_mixing, op9_simhash, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
