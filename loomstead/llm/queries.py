@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstead.llm import mixing, packing, simhash, substring, token_files, topk, warc
+from loomstead.llm import mixing, packing, quality, simhash, substring, token_files, topk, toxicity, warc
 
 
 def _vocabulary(name: str) -> str:
@@ -18,6 +18,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return quality.rules(documents, quality.fit(documents, _table(spark, sf_dir, "labels")))
+
+
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -27,6 +32,13 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    scored = toxicity.score(documents, toxicity.fit(documents, _table(spark, sf_dir, "labels")))
+    held_out = toxicity.held_out(F.col("doc_id"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(token_files.round_trip(spark, _table(spark, sf_dir, "documents"), tokenizer_path=_vocabulary("word_bpe_49k.json")))
 
@@ -61,7 +73,7 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_n
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_substring, op3_warc, op6_token_files, op7_packing, op8_mixing, op9_simhash, op10_topk)}
+    return {f.__name__: f for f in (op1_quality, op2_substring, op3_warc, op5_toxicity, op6_token_files, op7_packing, op8_mixing, op9_simhash, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
