@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstead.llm import mixing, packing, quality, simhash, substring, token_files, topk, toxicity, warc
+from loomstead.llm import extraction, mixing, packing, quality, simhash, substring, token_files, topk, toxicity, warc
 
 
 def _vocabulary(name: str) -> str:
@@ -32,6 +32,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extraction.extract(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     scored = toxicity.score(documents, toxicity.fit(documents, _table(spark, sf_dir, "labels")))
@@ -73,7 +78,7 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_n
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_substring, op3_warc, op5_toxicity, op6_token_files, op7_packing, op8_mixing, op9_simhash, op10_topk)}
+    return {f.__name__: f for f in (op1_quality, op2_substring, op3_warc, op4_extraction, op5_toxicity, op6_token_files, op7_packing, op8_mixing, op9_simhash, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
