@@ -24,91 +24,7 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: White space that some definition has beyond the space and the line feed.
-_ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
-_PAIRS = ("  ", " \n", "\n ", "\n\n")
-
-
-def _byte_letters() -> dict[int, str]:
-    """The printable letter that stands for each byte in byte-level vocabularies."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
-
-
-class Table:
-    """A map of two generations; at most 2 * CACHE_ENTRIES entries."""
-
-    def __init__(self, make):
-        self.make, self.young, self.old = make, {}, {}
-
-    def get(self, key):
-        """The value of a key that is not in the young generation."""
-        found = self.old.get(key)
-        if found is None:
-            found = self.make(key)
-        if len(self.young) >= CACHE_ENTRIES:
-            self.old, self.young = self.young, {}
-        self.young[key] = found
-        return found
-
-
-class Encoder:
-    """ids of texts as uint32 bytes. kind: "word" (white space is dropped) or "byte" (it is encoded)."""
-
-    def __init__(self, path: str, kind: str):
-        import regex
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model, self.kind = self.tokenizer.model, kind
-        self.cut = regex.compile(BYTE_PATTERN if kind == "byte" else WORD_PATTERN).findall
-        self.letters = _byte_letters()
-        self.words, self.chunks = Table(self._word), Table(self._chunk)
-
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        mapped = word.encode().decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.model.tokenize(mapped)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _chunk(self, chunk) -> bytes:
-        if self.kind == "word":
-            text = chunk.decode()
-            text = text.lower() if text.isascii() else self.tokenizer.normalizer.normalize_str(text)
-        else:
-            text = chunk if chunk[:1] == "\n" else " " + chunk
-        young, get = self.words.young, self.words.get
-        return b"".join([young[w] if w in young else get(w) for w in self.cut(text)])
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.kind == "word":
-            head, chunks = b"", text.encode().split()
-        else:
-            if text[0] == " " or text[-1] == " " or text[-1] == "\n" or any(p in text for p in _PAIRS) or _ODD.search(text):
-                return self.whole(text)
-            first, *chunks = text.replace("\n", " \n").split(" ")
-            head = b"".join([self.words.young.get(w) or self.words.get(w) for w in self.cut(first)])
-        young, get, out = self.chunks.young, self.chunks.get, [head]
-        try:
-            out += [young[c] for c in chunks]
-        except KeyError:
-            for c in chunks:
-                ids = self.chunks.young.get(c)
-                out.append(get(c) if ids is None else ids)
-        return b"".join(out)
-
-
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
-def encoder(path: str, kind: str) -> Encoder:
-    """The worker's encoder for a vocabulary file."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+_ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
     if (path, kind) not in _ENCODERS:
         _ENCODERS[path, kind] = Encoder(path, kind)
     return _ENCODERS[path, kind]
