@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+from loomstead.plans import corpus, evaluation, logs
+
+
+def _all() -> list[tuple[str, Callable, str | None]]:
+    return [*corpus.ENTRIES, *evaluation.ENTRIES, *logs.ENTRIES]
 
 
 def queries() -> dict[str, Callable]:
-    return dict(QUERIES)
+    return {name: query for name, query, _ in _all()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {name: sql for name, _, sql in _all() if sql}
