@@ -298,9 +298,9 @@ def _rounded(stats):
     return stats.select(*selection.BLOCK, "n_tokens", "n_candidates", "n_kept", *(F.round(c, 6).alias(c) for c in ("keep_share", "loss", "mean_ref")))
 
 
-@entry(f"WITH {_DELTA} SELECT shard_idx, token_index, round(score, 6) AS score, kept FROM sel")
+@entry(f"WITH {_DELTA} SELECT shard_idx, token_index, round(score, 9) AS score, kept FROM sel")
 def rho_delta(spark, sf_dir):
-    return selection.select_tokens(scored(spark, sf_dir), 0.7).select("shard_idx", "token_index", F.round("score", 6).alias("score"), "kept")
+    return selection.select_tokens(scored(spark, sf_dir), 0.7).select("shard_idx", "token_index", "score", "kept")
 
 
 @entry(f"WITH {_REF} {_STATS}")
