@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are lower-cased words and word starts of 4, 5 and 6 letters that the
-labels tie to toxicity (a chi-square test on a bounded sample of labelled rows).
+labels tie to toxicity (by a bound on chance, on a bounded sample of labelled rows).
 Inverse document frequencies of the chosen terms are counted over all documents.
 The labelled examples are held in an inverted index whose postings are cut into
 blocks of examples, each with its largest weight: blocks are visited by falling
@@ -32,8 +32,10 @@ from loomstead.llm.common import slices
 
 #: Labelled rows that the index is fitted on, at most: toxic ones and others.
 MOST_TOXIC, MOST_OTHERS = 3000, 6000
-#: Chosen terms at most, and the chi-square a term must reach.
-MOST_TERMS, LEAST_CHI2 = 2000, 25.0
+#: Chosen terms at most, and the surprise (nats beyond the log of all candidates) a term must reach.
+MOST_TERMS, LEAST_SURPRISE = 1000, 3.0
+#: Weight of the rate of texts without a term in a vote.
+PRIOR = 1.0
 NEIGHBOURS, BLOCK = 15, 64
 #: Words whose terms a worker remembers.
 CACHE_ENTRIES = 100_000
@@ -66,22 +68,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_T
     return [(*x, totals[bool(x[2])] / picked[x[2]]) for x in seen.values()]
 
 
-def chosen_terms(sample, most: int = MOST_TERMS, least: float = LEAST_CHI2) -> list[str]:
-    """Terms that occur more in toxic examples than chance allows."""
+def chosen_terms(sample, most: int = MOST_TERMS, least: float = LEAST_SURPRISE) -> list[str]:
+    """Terms four in five of whose documents are toxic, and more than chance allows."""
     counts: list[Counter] = [Counter(), Counter()]
-    n = [0, 0]
-    for _, text, toxic, _ in sample:
+    n, stands_for = [0, 0], [1.0, 1.0]
+    for _, text, toxic, weight in sample:
+        stands_for[toxic] = weight
         n[toxic] += 1
         counts[toxic].update({t for w in set(_WORDS(text.lower())) for t in word_terms(w)})
-    total, found = sum(n), []
+    found = []
     if min(n) == 0:
         return []
+    rate = n[1] / sum(n)
+    enough = math.log(len(counts[1])) + least
     for term, a in counts[1].items():
         b = counts[0][term]
-        c, d = n[1] - a, n[0] - b
-        chi2 = total * (a * d - b * c) ** 2 / max(1e-9, (a + b) * (c + d) * n[0] * n[1])
-        if a >= 3 and a * n[0] > b * n[1] and chi2 >= least:
-            found.append((-chi2, term))
+        share = a / (a + b)
+        surprise = a * math.log(share / rate) + (b * math.log((1 - share) / (1 - rate)) if b else 0.0)
+        if a >= 3 and share > rate and surprise >= enough and a * stands_for[1] >= 4 * b * stands_for[0]:
+            found.append((-surprise, term))
     return [t for _, t in sorted(found)[:most]]
 
 
@@ -90,20 +95,26 @@ class Terms:
 
     def __init__(self, terms: list[str]):
         self.ids = {t: i for i, t in enumerate(terms)}
-        self.cache: dict[str, tuple] = {}
+        self.hits: dict[str, tuple] = {}
+        self.without: set[str] = set()
 
     def counts(self, text: str) -> dict[int, int]:
-        out: dict[int, int] = {}
-        cache = self.cache
-        for word, n in Counter(_WORDS(text.lower())).items():
-            terms = cache.get(word)
+        words, out = Counter(_WORDS(text.lower())), {}
+        for word in words.keys() - self.without:
+            terms = self.hits.get(word)
             if terms is None:
-                if len(cache) >= CACHE_ENTRIES:
-                    cache.clear()
-                terms = cache[word] = tuple(self.ids[t] for t in word_terms(word) if t in self.ids)
+                terms = tuple(self.ids[t] for t in word_terms(word) if t in self.ids)
+                if not terms:
+                    if len(self.without) >= CACHE_ENTRIES:
+                        self.without.clear()
+                    self.without.add(word)
+                    continue
+                if len(self.hits) >= CACHE_ENTRIES:
+                    self.hits.clear()
+                self.hits[word] = terms
             for t in terms:
-                out[t] = out.get(t, 0) + n
-        return out
+                out[t] = out.get(t, 0) + words[word]
+        return dict(sorted(out.items()))
 
 
 def vector(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,45 +140,41 @@ class Index:
         self.toxic = np.array([v[1] for v in vectors], np.float64)
         self.weight = np.array([v[2] for v in vectors], np.float64)
         self.blocks = -(-len(vectors) // block)
-        posts: list[list] = [[] for _ in terms]
+        # block b holds, term by term, the weights of its examples; most[b] has each term's largest
+        self.posts = np.zeros((self.blocks, len(terms), block))
         for i, v in enumerate(vectors):
-            for t, w in zip(v[3].tolist(), v[4].tolist()):
-                posts[t].append((i, w))
-        self.posts = [(np.array([i for i, _ in p], np.int64), np.array([w for _, w in p])) for p in posts]
-        self.most = np.zeros((len(terms), self.blocks))
-        self.starts = np.zeros((len(terms), self.blocks + 1), np.int64)
-        for t, (i, w) in enumerate(self.posts):
-            np.maximum.at(self.most[t], i // block, w)
-            self.starts[t] = np.searchsorted(i, np.arange(self.blocks + 1) * block)
+            self.posts[i // block, v[3], i % block] = v[4]
+        self.most = self.posts.max(axis=2) if self.blocks else np.zeros((0, len(terms)))
         self.empty_rate = empty[1] / sum(empty) if sum(empty) else 0.0
         votes = [self.vote(*self.nearest(v[3], v[4], leave=i)) for i, v in enumerate(vectors)]
         self.levels, self.rates = isotonic(np.array(votes), self.toxic, self.weight)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples, exactly; equal ones by place."""
-        bound = weights @ self.most[terms] if len(terms) else np.zeros(self.blocks)
-        places, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(cosines) >= self.k and bound[b] < cosines[self.k - 1] - 1e-12:
-                break
-            score = np.zeros(self.block)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                s, e = self.starts[t, b], self.starts[t, b + 1]
-                if e > s:
-                    i, x = self.posts[t]
-                    score[i[s:e] - b * self.block] += w * x[s:e]
-            hit = np.flatnonzero(score > 0)
-            at = hit + b * self.block
-            hit, at = hit[at != leave], at[at != leave]
-            places, cosines = np.concatenate([places, at]), np.concatenate([cosines, score[hit]])
-            best = np.lexsort((places, -np.round(cosines, 12)))[: self.k]
-            places, cosines = places[best], cosines[best]
+        bound = self.most[:, terms] @ weights
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        places, cosines, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 2
+        while at < len(order) and (len(cosines) < self.k or bound[order[at]] >= cosines[self.k - 1] - 1e-12):
+            visited = order[at : at + step]
+            score = np.matmul(weights, self.posts[visited[:, None], terms])
+            place = (visited[:, None] * self.block + np.arange(self.block)).ravel()
+            score = score.ravel()
+            hit = (score > 0) & (place != leave)
+            if len(cosines) >= self.k:
+                hit &= score >= cosines[self.k - 1] - 1e-12
+            if hit.any():
+                places, cosines = np.concatenate([places, place[hit]]), np.concatenate([cosines, score[hit]])
+                best = np.lexsort((places, -np.round(cosines, 12)))[: self.k]
+                places, cosines = places[best], cosines[best]
+            at, step = at + step, 2 * step
         return places, cosines
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         """Share of toxicity among the neighbours, by closeness."""
-        w = self.weight[places] / (1.05 - np.minimum(cosines, 1.0))
-        return float((w * self.toxic[places]).sum() / w.sum()) if len(places) else self.empty_rate
+        c = np.minimum(cosines, 1.0)
+        w = self.weight[places] * c / (1.05 - c)
+        return float(((w * self.toxic[places]).sum() + PRIOR * self.empty_rate) / (w.sum() + PRIOR))
 
     def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[int, float, int]]]:
         """Calibrated score, and the neighbours (doc_id, cosine, toxic)."""

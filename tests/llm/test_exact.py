@@ -100,7 +100,7 @@ def test_extraction_of_other_layouts():
         page = extraction.training_page(r)
         want = "\n\n".join(t for _, t in sorted(x for d in extraction.parse(page) for x in d.runs if mark in x[1])).replace(mark, "")
         nodes = extraction.parse(page.replace(mark, ""))
-        good += extraction.main_text(nodes, trees.log_odds(extraction.features(nodes))) == want
+        good += extraction.main_text(nodes, trees.log_odds(extraction.features([nodes]))) == want
     assert good >= 54
 
 
@@ -255,7 +255,7 @@ def test_max_score():
 
 def test_nearest_examples():
     r = random.Random(8)
-    words = [f"w{i}x" for i in range(60)]
+    words = [f"{chr(97 + i // 8)}{chr(97 + i % 8)}" for i in range(60)]
     sample = [(i, " ".join(r.choices(words, k=12)), i % 3 == 0 and 1 or 0, 1.0) for i in range(400)]
     idf = np.linspace(1, 2, len(words))
     index = toxicity.Index(sample, words, idf, k=7, block=16)
