@@ -15,14 +15,20 @@ class Trees:
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def binned(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, x[:, j], side="right").astype(np.uint8) for j, e in enumerate(self.edges)])
+        """Bins of each feature that a tree asks for (of all before there are trees)."""
+        used = set(np.unique(np.concatenate([f for f, _, _ in self.trees])).tolist()) if self.trees else range(len(self.edges))
+        out = np.zeros((len(self.edges), len(x)), np.uint8)
+        for j in used:
+            e = self.edges[j]
+            out[j] = x[:, j] > e[0] if len(e) == 1 else np.searchsorted(e, x[:, j], side="right")
+        return out
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         bins, out = self.binned(x), np.full(len(x), self.base)
         rows = np.arange(len(x))
         for feature, cut, leaf in self.trees:
-            at = np.zeros(len(x), np.int64)
-            for _ in range((len(feature) + 1).bit_length() - 1):
+            at = (bins[feature[0]] > cut[0]) + 1
+            for _ in range((len(feature) + 1).bit_length() - 2):
                 at = 2 * at + 1 + (bins[feature[at], rows] > cut[at])
             out += leaf[at - len(feature)]
         return out

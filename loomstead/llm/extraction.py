@@ -19,6 +19,7 @@ empty table gives no rows. Other columns are not read (``url`` is, if it is ther
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -45,56 +46,72 @@ _ABOVE = {t: i for i, t in enumerate("article main nav header footer aside form
 NUMBERS = 24
 
 
-def features(nodes: list[Node]) -> np.ndarray:
-    """A row a node: numbers, the tag, its own attribute tokens, tokens above it."""
-    n = len(nodes)
-    x = np.zeros((n, NUMBERS + len(TAGS) + 2 * len(TOKENS) + len(_ABOVE)), np.float32)
-    chars = np.zeros(n)
-    words, links, link_chars, blocks, paragraphs, commas = (np.zeros(n) for _ in range(6))
-    for i, d in enumerate(nodes):
-        chars[i] = sum(len(t) for _, t in d.runs)
-        words[i] = sum(t.count(" ") + 1 for _, t in d.runs)
-        commas[i] = sum(t.count(",") + t.count(". ") for _, t in d.runs)
-        links[i], link_chars[i] = d.links, d.link_chars
-        paragraphs[i] = d.tag == "p"
-    ends = np.array([d.end for d in nodes])
-    start = np.arange(n)
+def features(pages: list[list[Node]]) -> np.ndarray:
+    """A row for each node of some pages: numbers, the tag, its own attribute tokens, tokens and tags above it."""
+    size = sum(map(len, pages))
+    own = np.zeros((10, size))  # chars, words, links, link chars, commas, is p, depth, children, inline, end
+    parent, page, place, siblings, same = (np.zeros(size, np.int64) for _ in range(5))
+    tag, token_rows, token_columns, tag_rows, tag_columns = np.full(size, -1), [], [], [], []
+    counted, base = [], 0
+    for nodes in pages:
+        for i, d in enumerate(nodes, base):
+            chars = words = commas = 0
+            for _, t in d.runs:
+                chars += len(t)
+                words += t.count(" ") + 1
+                commas += t.count(",") + t.count(". ")
+            counted.append((chars, words, d.links, d.link_chars, commas, d.tag == "p", d.depth, len(d.children), d.inline, base + d.end))
+            parent[i] = base + d.parent.order if d.parent else i
+            at = _TAG_PLACE.get(d.tag)
+            if at is not None:
+                tag[i] = at
+            if d.tag in _ABOVE:
+                tag_rows.append(i)
+                tag_columns.append(_ABOVE[d.tag])
+            for t in d.tokens:
+                at = _TOKEN_PLACE.get(t)
+                if at is not None:
+                    token_rows.append(i)
+                    token_columns.append(at)
+            if d.children:
+                tags = Counter(k.tag for k in d.children)
+                for k, child in enumerate(d.children):
+                    c = base + child.order
+                    place[c], siblings[c], same[c] = k, len(d.children), tags[child.tag]
+        siblings[base] = same[base] = 1
+        page[base : base + len(nodes)] = base
+        base += len(nodes)
+    own[:] = np.array(counted, np.float64).reshape(-1, 10).T
+    start, ends, depth = np.arange(size), own[9].astype(np.int64), own[6].astype(np.int64)
 
     def subtree(v):
         total = np.concatenate([[0], np.cumsum(v)])
         return total[ends] - total[start]
 
-    own = (chars, words, links, link_chars, commas)
-    below = [subtree(v) for v in (*own, paragraphs, np.ones(n))]
-    all_chars = max(1.0, chars.sum())
-    for i, d in enumerate(nodes):
-        p = d.parent
-        siblings = p.children if p else [d]
-        place = siblings.index(d) if p and len(siblings) < 200 else 0
-        same = sum(s.tag == d.tag for s in siblings) if len(siblings) < 200 else len(siblings)
-        q = p.order if p else 0
-        x[i, :NUMBERS] = (
-            d.depth, len(d.children), len(siblings), place / max(1, len(siblings) - 1), same / len(siblings), i / n,
-            np.log1p(chars[i]), np.log1p(words[i]), np.log1p(below[0][i]), below[0][i] / all_chars, below[0][i] / below[6][i],
-            below[3][i] / max(1.0, below[0][i]), below[2][i] / max(1.0, below[1][i] / 10), below[4][i] / max(1.0, below[1][i]), np.log1p(below[5][i]), below[5][i] / below[6][i],
-            np.log1p(below[0][q]), below[3][q] / max(1.0, below[0][q]), np.log1p(below[5][q]), below[0][q] / all_chars, below[0][i] / max(1.0, below[0][q]),
-            d.inline, d.links, np.log1p(below[6][i]),
-        )
-        at = _TAG_PLACE.get(d.tag)
-        if at is not None:
-            x[i, NUMBERS + at] = 1
-        first = NUMBERS + len(TAGS)
-        for t in d.tokens:
-            at = _TOKEN_PLACE.get(t)
-            if at is not None:
-                x[i, first + at] = 1
-        if p:
-            second = first + 2 * len(TOKENS)
-            above = x[p.order, first : first + len(TOKENS)] + x[p.order, first + len(TOKENS) : second]
-            x[i, first + len(TOKENS) : second] = np.minimum(above, 1)
-            x[i, second:] = x[p.order, second:]
-            if p.tag in _ABOVE:
-                x[i, second + _ABOVE[p.tag]] = 1
+    chars, words, links, link_chars, commas, paragraphs, n = (subtree(v) for v in (*own[:6], np.ones(size)))
+    whole, some = np.maximum(1.0, chars[page]), np.maximum(1.0, chars)
+    x = np.zeros((size, NUMBERS + len(TAGS) + 2 * len(TOKENS) + len(_ABOVE)), np.float32)
+    numbers = (
+        depth, own[7], siblings, place / np.maximum(1, siblings - 1), same / siblings, (start - page) / n[page],
+        np.log1p(own[0]), np.log1p(own[1]), np.log1p(chars), chars / whole, chars / n,
+        link_chars / some, links / np.maximum(1.0, words / 10), commas / np.maximum(1.0, words), np.log1p(paragraphs), paragraphs / n,
+        np.log1p(chars[parent]), (link_chars / some)[parent], np.log1p(paragraphs[parent]), chars[parent] / whole, chars / some[parent],
+        own[8], own[2], np.log1p(n),
+    )
+    for j, v in enumerate(numbers):
+        x[:, j] = v
+    known = np.flatnonzero(tag >= 0)
+    x[known, NUMBERS + tag[known]] = 1
+    first = NUMBERS + len(TAGS)
+    second, third = first + len(TOKENS), first + 2 * len(TOKENS)
+    x[token_rows, first + np.array(token_columns, np.int64)] = 1
+    tags = np.zeros((size, len(_ABOVE)), np.float32)
+    tags[tag_rows, tag_columns] = 1
+    for level in range(1, int(depth.max(initial=0)) + 1):
+        rows = np.flatnonzero(depth == level)
+        up = parent[rows]
+        x[rows, second:third] = np.maximum(x[up, first:second], x[up, second:third])
+        x[rows, third:] = np.maximum(tags[up], x[up, third:])
     return x
 
 
@@ -176,7 +193,7 @@ def train(pages: int = 400, seed: int = 11) -> boosting.Trees:
         # a wrapper leads to main text if it holds any; a node with text of its own must be main text
         y = np.where(wrapper, inside > 0, inside > 0.5 * total) & (total > 0)
         asked = np.array([d.parent is not None and (y[d.parent.order] or d.parent.parent is None) for d in nodes])
-        xs.append(features(nodes)[asked])
+        xs.append(features([nodes])[asked])
         ys.append(y[asked])
     return boosting.fit(np.concatenate(xs), np.concatenate(ys).astype(np.float64))
 
@@ -197,7 +214,7 @@ def extract(pages: DataFrame, trees: boosting.Trees | None = None) -> DataFrame:
             for batch in slices(whole, "html", 1 << 20):
                 parsed = [parse(h or "") for h in batch.column(2).to_pylist()]
                 sizes = np.cumsum([0, *map(len, parsed)])
-                odds = found.log_odds(np.concatenate([features(p) for p in parsed]))
+                odds = found.log_odds(features(parsed))
                 texts = [main_text(p, odds[a:b]) for p, a, b in zip(parsed, sizes[:-1], sizes[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
