@@ -96,13 +96,12 @@ def _anchor_lists(min_words: int, key: str):
     return run
 
 
-def suffix_rows(text: bytes, wanted: dict[int, bool], min_words: int):
+def suffix_rows(words: Words, wanted: dict[int, bool], min_words: int):
     """(route, first word, windows, suffix text) of the windows whose anchor is wanted (value: hot).
 
     Windows in a row with one anchor share a row, whose text holds them all; with a
     hot anchor each has its own, routed by the whole window.
     """
-    words = Words(text)
     h, place = anchors(words, min_words)
     if not len(h):
         return
@@ -136,10 +135,13 @@ def _suffixes(min_words: int, combine: bool):
             for batch in slices(whole, "text"):
                 for i, text, listed, hots, copies in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), *(batch.column(c).to_pylist() for c in (2, 3, 4))):
                     wanted = dict.fromkeys(listed or (), False) | dict.fromkeys(hots or (), True)
-                    content = content_hash(b" ".join(text.split()))
-                    if not wanted or content in (copies or ()):
+                    if not wanted:
                         continue
-                    for route, at, _, suffix in suffix_rows(text, wanted, min_words):
+                    words = Words(text)
+                    content = content_hash(words.line)
+                    if copies and content in copies:
+                        continue
+                    for route, at, _, suffix in suffix_rows(words, wanted, min_words):
                         if combine:
                             found[route, suffix] = min(i, found.get((route, suffix), i))
                         else:
@@ -228,7 +230,12 @@ def _cleaned(min_words: int):
                 for text, found, copies in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                     words = text.split()
                     n = len(words)
-                    content = content_hash(b" ".join(words)) if found or copies else 0
+                    line = b" ".join(words)
+                    if not found and not copies:
+                        for name, x in (("n_words", n), ("n_removed", 0), ("kept_sha256", hashlib.sha256(line).hexdigest()), ("kept", text), ("spans", [])):
+                            out[name].append(x)
+                        continue
+                    content = content_hash(line)
                     cover = np.zeros(n + 1, np.int64)
                     if copies and content in copies and n >= min_words:
                         cover[0], cover[n] = 1, -1
