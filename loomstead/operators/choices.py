@@ -43,3 +43,9 @@ def accuracy(predicted: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def weighted_loss(rows: DataFrame) -> DataFrame:
     """Token-weighted mean of (loss, n)."""
     return rows.agg((F.sum(F.col("loss") * F.col("n")) / F.greatest(F.lit(1.0), F.sum("n"))).alias("val_loss"), F.count(F.lit(1)).alias("n_batches"))
+
+
+def longest_input(model_max: int | None, tokenizer_max: int | None, default: int = 2048) -> int:
+    """The shorter of two limits; a tokenizer's placeholder of a million or more is none."""
+    known = [n for n in (model_max, tokenizer_max if tokenizer_max and tokenizer_max < 1_000_000 else None) if n]
+    return min(known, default=default)

@@ -131,3 +131,8 @@ def sampled(scored: DataFrame, n: int, seed: int = 0) -> DataFrame:
     x = scored.where(finite(F.col("ref_loss"))).select("ref_loss")
     total = max(1, x.count())
     return x.sample(withReplacement=True, fraction=(n * 1.05 + 64) / total, seed=seed).limit(n)
+
+
+def sequence_length(asked: int | None, meta: dict) -> int:
+    """The asked length, else that of the loss metadata, else 1024."""
+    return asked or meta.get("seq_len") or 1024

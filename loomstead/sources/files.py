@@ -99,3 +99,33 @@ def record_list(spark: SparkSession, path: str, schema: T.StructType | str) -> D
 def write_csv(df: DataFrame, folder: str) -> None:
     """CSV with a header, also where there are no rows."""
     (df if df.take(1) else df.coalesce(1)).write.mode("overwrite").option("header", True).csv(folder)
+
+
+def trim_log(spark: SparkSession, folder: str, last_step: int) -> dict:
+    """Drop the records of a log folder that are later than a step; the first original is kept as ``.backup``.
+
+    Lines that are no records stay as they are. Nothing is written if nothing goes.
+    """
+    from loomstead.operators import runlog
+
+    rows = runlog.trimmed_lines(spark.read.text(folder), last_step)
+    counts = runlog.trim_counts(rows).first().asDict()
+    if counts["removed"]:
+        rows.where("not removed").select("value").write.mode("overwrite").text(f"{folder}.trimmed")
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path(f"{folder}.backup")):
+            fs.delete(path(folder), True)
+        else:
+            fs.rename(path(folder), path(f"{folder}.backup"))
+        fs.rename(path(f"{folder}.trimmed"), path(folder))
+    return counts
+
+
+def trim_run(spark: SparkSession, folders: list[str], last_step: int) -> dict:
+    """trim_log for each log of a run, and the totals."""
+    total: dict[str, int] = {}
+    for folder in folders:
+        for k, n in trim_log(spark, folder, last_step).items():
+            total[k] = total.get(k, 0) + n
+    return total

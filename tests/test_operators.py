@@ -186,3 +186,8 @@ def test_replayed_shuffle(spark):
     order = np.arange(10)
     np.random.default_rng(7 + 2001).shuffle(order)
     assert [r.block_idx for r in blocks.numpy_shuffled(s, 7).orderBy("place").collect()] == order.tolist()
+
+
+def test_limits():
+    assert choices.longest_input(1024, 10**9) == 1024 and choices.longest_input(None, None) == 2048
+    assert losses.sequence_length(None, {"seq_len": 7}) == 7 and losses.sequence_length(None, {}) == 1024

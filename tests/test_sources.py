@@ -52,3 +52,12 @@ def test_small_files(spark, tmp_path):
     assert files.read_meta(str(tmp_path / "m.json")) == {"a": [1, 2]}
     files.write_csv(spark.createDataFrame([], "a int, b string"), str(tmp_path / "c"))
     assert any("a,b" in p.read_text() for p in (tmp_path / "c").glob("part*"))
+
+
+def test_trimming(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    spark.createDataFrame([('{"step": 1}',), ("odd line",), ('{"step": 9}',)], "value string").coalesce(1).write.text(folder)
+    assert files.trim_run(spark, [folder], 5) == {"removed": 1, "kept": 2, "invalid_lines_kept": 1}
+    assert sorted(r.value for r in spark.read.text(folder).collect()) == ["odd line", '{"step": 1}']
+    assert spark.read.text(f"{folder}.backup").count() == 3
+    assert files.trim_run(spark, [folder], 5)["removed"] == 0
