@@ -106,7 +106,8 @@ def mix(
     spans = some.withColumn("b", F.explode(F.expr("sequence(((at + 1) * blocks - 1) div words, ((at + size) * blocks - 1) div words)")))
     overlap = (F.least(F.col("at") + F.col("size"), F.col("to")) - F.greatest("at", "from")) * F.col("times")
     base = ["doc_id", "source", "size", "source_size", "target"]
-    taken = spans.join(cut, ["rank", "shard", "b"]).groupBy("rank", "shard", "at", *base).agg(F.sum(overlap).alias("taken"))
+    # both sides are exploded: their sizes are not those of the small tables they come from, so neither is broadcast
+    taken = spans.join(cut.hint("merge"), ["rank", "shard", "b"]).groupBy("rank", "shard", "at", *base).agg(F.sum(overlap).alias("taken"))
     nothing = laid.where("size = 0").select(*base, F.lit(0).cast("long").alias("taken"))
     return taken.select(*base, "taken").unionByName(nothing)
 
