@@ -1,5 +1,7 @@
 """The pipeline: stages, their columns, and what each must do."""
 
+import random
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
@@ -28,3 +30,27 @@ def test_odd_rows(spark, sf):
         for _, stage in corpus_pipeline.STAGES:
             table = stage(spark, table, sf)
         table.collect()
+
+
+def test_edited_copies(spark, sf):
+    """Copies with small edits go where five-word shingles have a similarity of 0.8 or more, by brute force; chains count."""
+    r = random.Random(11)
+    words = [[f"w{r.randrange(5000)}" for _ in range(n)] for n in (40, 60, 120, 300, 300, 8, 3)]
+    texts = []
+    for w in words:
+        texts.append(w)
+        for edits in (0, 1, 2, 4, 8, 12):
+            v = list(texts[-1] if edits == 2 else w)
+            for _ in range(edits):
+                v[r.randrange(len(v))] = f"x{r.randrange(10**6)}"
+            texts.append(v)
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    group = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, sf).collect()}
+    assert kept == set(group) and any(texts[i] != texts[g] for i, g in enumerate(group))
