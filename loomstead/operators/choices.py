@@ -27,6 +27,26 @@ def fitted(prompt: Column, continuation: Column, longest: int, eos: int) -> tupl
     return head, F.when(over >= F.size(prompt), F.slice(cont, 1, longest)).otherwise(cont)
 
 
+def padded(prompt: Column, continuation: Column, pad: int) -> tuple[Column, Column]:
+    """Input ids and where the continuation starts in them (from 0); an input of one id has ``pad`` before it."""
+    ids = F.concat(prompt, continuation)
+    short = F.size(ids) < 2
+    return F.when(short, F.concat(F.array(F.lit(pad).cast("int")), ids)).otherwise(ids), F.size(prompt) + short.cast("int")
+
+
+def continuation_logps(logps: Column, start: Column) -> Column:
+    """The scored part of an input's log probabilities (of its second id to its last).
+
+    ``start`` is the continuation's place among the ids; where it is 0 the first id has no log probability and goes unscored.
+    """
+    return F.slice(logps, F.greatest(start - 1, F.lit(0)) + 1, F.size(logps))
+
+
+def sequence_score(logps: Column) -> tuple[Column, Column]:
+    """Sum and length of the scored part."""
+    return F.aggregate(logps, F.lit(0.0), lambda a, x: a + x), F.size(logps)
+
+
 def predictions(scored: DataFrame, keys: list[str] = ["example_idx"]) -> DataFrame:  # noqa: B006
     """pred and pred_norm of (example_idx, choice_idx, label, score, length); equal scores go to the lowest choice."""
     best = lambda s: -F.max(F.struct(s.alias("s"), (-F.col("choice_idx")).alias("c")))["c"]

@@ -20,6 +20,11 @@ def union_files(frames: list[DataFrame]) -> DataFrame:
     return out.withColumn("row_index", F.row_number().over(Window.orderBy("file", "line")) - 1).drop("file", "line")
 
 
+def conditional_logps(logps, context_tokens):
+    """Log probabilities of a target's tokens, of those of context + " " + target (BOS before it): all after as many as the context has alone."""
+    return F.slice(logps, context_tokens + 1, F.size(logps))
+
+
 def reduce_scores(logps, how: str):
     """Sum or mean of an array of token log probabilities; empty: 0."""
     if how not in ("sum", "mean"):

@@ -1,6 +1,7 @@
 """Hand-made cases of the analytics operators."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -191,3 +192,31 @@ def test_replayed_shuffle(spark):
 def test_limits():
     assert choices.longest_input(1024, 10**9) == 1024 and choices.longest_input(None, None) == 2048
     assert losses.sequence_length(None, {"seq_len": 7}) == 7 and losses.sequence_length(None, {}) == 1024
+
+
+def test_scored_continuations(spark):
+    """Masks, sums and lengths of fitted candidates against a plain loop; log probabilities are those of a fixed scorer."""
+    r = random.Random(4)
+    rows = [([r.randrange(90) for _ in range(p)], [r.randrange(90) for _ in range(c)]) for p in (0, 1, 2, 5, 9) for c in (0, 1, 2, 6, 8, 12)]
+    logp = lambda before, token: -float((before * 31 + token * 17) % 13) - 0.5
+    head, cont = choices.fitted(F.col("p"), F.col("c"), 8, 99)
+    ids, start = choices.padded(head, cont, 98)
+    fit = spark.createDataFrame(rows, "p array<int>, c array<int>").select("p", "c", ids.alias("ids"), start.alias("start"))
+    steps = F.transform(F.sequence(F.lit(2), F.size("ids")), lambda i: -((F.element_at("ids", i - 1) * 31 + F.element_at("ids", i) * 17) % 13).cast("double") - 0.5)
+    total, length = choices.sequence_score(choices.continuation_logps(steps, F.col("start")))
+    for row in fit.select("p", "c", "ids", "start", total.alias("total"), length.alias("length")).collect():
+        p, c = list(row.p), list(row.c) or [99]
+        over = len(p) + len(c) - 8
+        if over > 0:
+            p, c = (p[over:], c) if over < len(p) else ([], c[:8])
+        whole, at = p + c, len(p)
+        if len(whole) < 2:
+            whole, at = [98, *whole], at + 1
+        scored = [logp(whole[i], whole[i + 1]) for i in range(max(at - 1, 0), len(whole) - 1)]
+        assert (list(row.ids), row.start, row.total, row.length) == (whole, at, sum(scored), len(scored))
+
+
+def test_conditional_logps(spark):
+    x = spark.createDataFrame([([-1.0, -2.0, -3.0], 2), ([-1.0, -2.0], 0), ([-1.0], 1), ([-1.0], 5)], "logps array<double>, n int")
+    got = [r[0] for r in x.select(pairs.conditional_logps(F.col("logps"), F.col("n"))).collect()]
+    assert got == [[-3.0], [-1.0, -2.0], [], []]
