@@ -5,6 +5,8 @@ import math
 import pytest
 
 
+import numpy as np
+
 from loomstead.llm import extraction, mixing, packing, quality, simhash, substring, token_files, topk, toxicity, warc
 
 
@@ -120,3 +122,21 @@ def test_topk(spark):
     got = topk.search(v, v.where("vec_id = 0")).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in got] == [(1, 5 * 65536), (1, 5 * 65536), (7, 0)]
     assert topk.search(v.limit(0), v.limit(0)).count() == 0
+
+
+def test_topk_large_components(spark):
+    import math
+
+    first = spark.createDataFrame([(0, [2000000.0, 1.0]), (1, [1.0, 1.0]), (2, [3.0, 1.0])], "vec_id long, embedding array<float>")
+    got = topk.search(first, first.where("vec_id = 1")).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(0, 256 * 512000256), (2, 4 * 65536)]
+    r = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in r.normal(size=4) * 10.0 ** r.integers(-2, 38 if i % 3 else 9)]) for i in range(120)] + [(200, []), (201, [])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for row in topk.search(v, v.where("vec_id % 5 = 0"), shards=3).collect():
+        found.setdefault(row.query_id, []).append((row.rank, row.vec_id, row.score))
+    whole = {i: [math.floor(256 * x) for x in e] for i, e in rows}
+    for q in (i for i in whole if i % 5 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], e)), i) for i, e in whole.items() if i != q and len(e) == len(whole[q]))[:5]
+        assert sorted(found[q]) == [(k, i, max(-(2**63), min(2**63 - 1, -s))) for k, (s, i) in enumerate(scores, 1)], q
