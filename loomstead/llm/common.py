@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -55,6 +56,44 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
         at = to
 
 
+_SPACES = b" \t\n\r\x0b\x0c"
+_BREAK = re.compile(rb"[ \n]")
+
+
+def cut_at_space(text: bytes, limit: int) -> list[bytes]:
+    """A text in parts of about ``limit`` bytes, each but the first beginning with a run of white space; a longer word stays whole."""
+    parts, at = [], 0
+    while len(text) - at > limit:
+        found = max(text.rfind(s, at + 1, at + limit) for s in (b" ", b"\n"))
+        if found < 0:
+            later = _BREAK.search(text, at + limit)
+            if later is None:
+                break
+            found = later.start()
+        while found > at + 1 and text[found - 1] in _SPACES:
+            found -= 1
+        if found <= at + 1:  # white space alone
+            break
+        parts.append(text[at:found])
+        at = found
+    return [*parts, text[at:]]
+
+
+def parts_of(texts: list[bytes], limit: int = 4 << 20):
+    """Texts, the long ones cut at white space, in groups of about ``limit`` bytes: (parts, the text of each)."""
+    parts, owners, held = [], [], 0
+    for i, text in enumerate(texts):
+        for part in cut_at_space(text, limit):
+            if parts and held + len(part) > limit:
+                yield parts, np.array(owners, np.int64)
+                parts, owners, held = [], [], 0
+            parts.append(part)
+            owners.append(i)
+            held += len(part)
+    if parts:
+        yield parts, np.array(owners, np.int64)
+
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}

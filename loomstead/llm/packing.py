@@ -1,8 +1,10 @@
 """Packing: first-fit decreasing with a tournament tree of bin capacities, in randomised groups.
 
-A seeded hash of the document id deals documents to groups of about
-``group_docs``; each group is packed by one task on its own, so nothing is
-gathered beyond a group and a lost task is simply run again. Within a group,
+A seeded hash of the row (its document id and its place in the input) deals rows
+to tasks and orders them there; each ``group_docs`` rows in that order, or fewer
+with GROUP_BYTES of text, are a group that is packed on its own. Nothing is
+gathered beyond a group, repeats of one document id are spread like other rows,
+and a lost task is simply run again. Within a group,
 whole sequences are cut off long documents, the tails go through first-fit
 decreasing, and what the fullest bins still lack is cut from the emptiest ones.
 The last tokens of a group fill sequences whose lengths are powers of two, which
@@ -23,8 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstead.llm.common import as_bytes, slices
 from loomstead.llm.tokens import encoder
 
+#: Bytes of text from which a group is closed.
+GROUP_BYTES = 16 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -100,25 +105,40 @@ def pack_documents(
     group_docs: int = 256, seed: int = 7, keep_ids: bool = True,
 ) -> DataFrame:
     """Pieces of all documents (doc_id, text) packed to sequences of at most ``capacity`` tokens (a power of two)."""
-    groups = max(1, -(-docs.count() // group_docs))
-    end = np.asarray([end_id], "<u4").tobytes()
-
-    def run(table: pa.Table) -> pa.Table:
-        enc = encoder(tokenizer_path, kind)
-        group = table.column("g")[0].as_py()
-        rows = [(i, enc.encode(t or "") + end) for i, t in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist())]
-        rows.sort(key=lambda r: (r[0], zlib.crc32(r[1])))
-        out = []
-        for q, sequence in enumerate(pack([len(ids) // 4 for _, ids in rows], capacity)):
+
+    def packed(rows: list[tuple[int, np.ndarray]], first: int) -> tuple[pa.RecordBatch, int]:
+        data = sorted(((i, zlib.crc32(ids), ids.tobytes()) for i, ids in rows), key=lambda r: r[:2])
+        out, q = [], first
+        for q, sequence in enumerate(pack([len(ids) // 4 for _, _, ids in data], capacity), first):
             at = 0
             for i, start, length in sequence:
-                doc, ids = rows[i]
+                doc, _, ids = data[i]
                 piece = ids[4 * start : 4 * (start + length)]
-                out.append((doc, start, length, zlib.crc32(piece), len(ids) // 4, (group << 32) + q, at, piece if keep_ids else None))
+                out.append((doc, start, length, zlib.crc32(piece), len(ids) // 4, q, at, piece if keep_ids else None))
                 at += length
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
         kinds = [pa.int64()] * 7 + [pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
-
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(groups)).alias("g")).where("doc_id is not null")
-    return dealt.groupBy("g").applyInArrow(run, PIECES)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names), q + 1
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        enc, end = encoder(tokenizer_path, kind), np.asarray([end_id], "<u4")
+        rows, size, q = [], 0, TaskContext.get().partitionId() << 40
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                texts = as_bytes(batch.column(1))
+                for i, text, ids in zip(batch.column(0).to_pylist(), texts, enc.encode_all(texts)):
+                    rows.append((i, np.append(ids, end)))
+                    size += len(text)
+                    if len(rows) >= group_docs or size >= GROUP_BYTES:
+                        out, q = packed(rows, q)
+                        yield out
+                        rows, size = [], 0
+        if rows:
+            yield packed(rows, q)[0]
+
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    row = F.xxhash64(F.lit(seed), "doc_id", F.monotonically_increasing_id())
+    dealt = docs.select("doc_id", "text", row.alias("h")).where("doc_id is not null").repartition(n, "h").sortWithinPartitions("h", "doc_id")
+    return dealt.select("doc_id", "text").mapInArrow(run, PIECES)

@@ -27,7 +27,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstead.llm.common import fresh_path
+from loomstead.llm.common import as_bytes, fresh_path, slices
 from loomstead.llm.tokens import encoder
 
 MAGIC = b"LSDAC001"
@@ -52,11 +52,11 @@ def encode_levels(ids: np.ndarray, bits: int = 8) -> list[tuple[bytes, bytes, by
             return levels
 
 
-def write_file(path: str, doc_ids: list[int], documents: list[bytes], bits: int = 8) -> int:
-    """Write documents (ids as uint32 bytes) to a file; its number of ids. The name appears once it is whole."""
-    ids = np.frombuffer(b"".join(documents), "<u4")
+def write_file(path: str, doc_ids: list[int], documents: list[np.ndarray], bits: int = 8) -> int:
+    """Write documents (uint32 ids) to a file; its number of ids. The name appears once it is whole."""
+    ids = np.concatenate([np.zeros(0, "<u4"), *documents])
     levels = encode_levels(ids, bits)
-    starts = np.concatenate([[0], np.cumsum([len(d) // 4 for d in documents])]).astype("<i8")
+    starts = np.concatenate([[0], np.cumsum([len(d) for d in documents])]).astype("<i8")
     head = json.dumps({"bits": bits, "ids": len(ids), "documents": len(doc_ids), "levels": [[len(p) for p in level] for level in levels]}).encode()
     filesystem, name = pafs.FileSystem.from_uri(path)
     filesystem.create_dir(name.rpartition("/")[0], recursive=True)
@@ -71,48 +71,68 @@ def write_file(path: str, doc_ids: list[int], documents: list[bytes], bits: int
 
 
 class TokenFile:
-    """Reads a token file: whole documents, or one token by its place."""
+    """Reads a token file: one token by its place (a few bytes of each level are read), or all."""
 
     def __init__(self, path: str):
         filesystem, name = pafs.FileSystem.from_uri(path)
-        with filesystem.open_input_file(name) as f:
-            data = f.read()
-        assert data[:8] == MAGIC, "not a token file"
-        (n,) = struct.unpack_from("<I", data, 8)
-        head = json.loads(data[12 : 12 + n])
-        at = 12 + n
-        self.bits, self.n = head["bits"], head["ids"]
-        self.doc_ids = np.frombuffer(data, "<i8", head["documents"], at)
-        at += 8 * head["documents"]
-        self.starts = np.frombuffer(data, "<i8", head["documents"] + 1, at)
-        at += 8 * (head["documents"] + 1)
+        self.file = filesystem.open_input_file(name)
+        lead = self._read(0, 12)
+        assert lead[:8] == MAGIC, "not a token file"
+        (n,) = struct.unpack_from("<I", lead, 8)
+        head = json.loads(self._read(12, n))
+        self.bits, self.n, self.documents = head["bits"], head["ids"], head["documents"]
+        self.kind = np.dtype(np.uint8 if self.bits <= 8 else np.uint16)
+        self._table = at = 12 + n
+        at += 8 * (2 * self.documents + 1)
+        #: of each level: where its chunks, its bitmap and its directory begin, and the sizes of these
         self.levels = []
-        for a, b, c in head["levels"]:
-            kind = np.uint8 if self.bits <= 8 else np.uint16
-            parts = (np.frombuffer(data, kind, a // np.dtype(kind).itemsize, at), np.frombuffer(data, np.uint8, b, at + a), np.frombuffer(data, "<u8", c // 8, at + a + b))
-            self.levels.append(parts)
-            at += a + b + c
+        for sizes in head["levels"]:
+            self.levels.append((at, at + sizes[0], at + sizes[0] + sizes[1], sizes))
+            at += sum(sizes)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.file.close()
+
+    def _read(self, at: int, n: int) -> bytes:
+        return self.file.read_at(n, at)
+
+    @property
+    def doc_ids(self) -> np.ndarray:
+        return np.frombuffer(self._read(self._table, 8 * self.documents), "<i8")
+
+    @property
+    def starts(self) -> np.ndarray:
+        """Where each document begins, and the end."""
+        return np.frombuffer(self._read(self._table + 8 * self.documents, 8 * (self.documents + 1)), "<i8")
 
     def token(self, place: int) -> int:
         """The id at a place: one chunk a level, with a rank in the directory between levels."""
+        if not 0 <= place < self.n:
+            raise IndexError(place)
         value = 0
-        for level, (chunks, bitmap, directory) in enumerate(self.levels):
-            value |= int(chunks[place]) << level * self.bits
+        for level, (chunks, bitmap, directory, _) in enumerate(self.levels):
+            width = self.kind.itemsize
+            value |= int.from_bytes(self._read(chunks + width * place, width), "little") << level * self.bits
             byte, bit = divmod(place, 8)
-            if not int(bitmap[byte]) >> bit & 1:
-                break
             block = byte // STEP
-            inside = bitmap[block * STEP : byte + 1].copy()
-            inside[-1] &= (1 << bit) - 1
-            place = int(directory[block]) + int(np.bitwise_count(inside).sum())
+            inside = self._read(bitmap + block * STEP, byte + 1 - block * STEP)
+            if not inside[-1] >> bit & 1:
+                break
+            below = int.from_bytes(self._read(directory + 8 * block, 8), "little")
+            inside = inside[:-1] + bytes([inside[-1] & (1 << bit) - 1])
+            place = below + int.from_bytes(inside, "little").bit_count()
         return value
 
     def all(self) -> np.ndarray:
         """All ids, level by level."""
         out, alive = np.zeros(self.n, np.uint32), np.arange(self.n)
-        for level, (chunks, bitmap, _) in enumerate(self.levels):
-            out[alive] |= chunks.astype(np.uint32) << np.uint32(level * self.bits)
-            alive = alive[np.unpackbits(bitmap, count=len(alive), bitorder="little").astype(bool)]
+        for level, (chunks, bitmap, _, sizes) in enumerate(self.levels):
+            out[alive] |= np.frombuffer(self._read(chunks, sizes[0]), self.kind).astype(np.uint32) << np.uint32(level * self.bits)
+            goes_on = np.frombuffer(self._read(bitmap, sizes[1]), np.uint8)
+            alive = alive[np.unpackbits(goes_on, count=len(alive), bitorder="little").astype(bool)]
         return out
 
 
@@ -124,27 +144,28 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, kind: str = "w
     is run again writes other names, and only the listed names count.
     """
     spark = docs.sparkSession
-    end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
         enc, doc_ids, documents, size, number = encoder(tokenizer_path, kind), [], [], 0, 0
+        end = np.asarray([end_id], "<u4")
 
         def flush():
             name = f"{path}/{part:06d}-{number:06d}-{uuid.uuid4().hex}.dac"
             ids = write_file(name, doc_ids, documents, bits)
             return pa.RecordBatch.from_pydict({"path": [name], "part": [part], "number": [number], "ids": [ids], "documents": [len(doc_ids)]})
 
-        for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                doc_ids.append(i)
-                documents.append(enc.encode(t or "") + end)
-                size += len(documents[-1]) // 4
-                if size >= file_ids:
-                    yield flush()
-                    doc_ids, documents, size, number = [], [], 0, number + 1
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                for i, ids in zip(batch.column(0).to_pylist(), enc.encode_all(as_bytes(batch.column(1)))):
+                    doc_ids.append(i)
+                    documents.append(np.append(ids, end))
+                    size += len(ids) + 1
+                    if size >= file_ids:
+                        yield flush()
+                        doc_ids, documents, size, number = [], [], 0, number + 1
         if doc_ids:
             yield flush()
 
@@ -165,13 +186,13 @@ def read_tokens(files: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                f = TokenFile(path)
-                data = f.all().astype("<u4").tobytes()
-                for at in range(0, len(f.doc_ids), 2000):
-                    to = min(at + 2000, len(f.doc_ids))
-                    s = f.starts[at : to + 1]
+                with TokenFile(path) as f:
+                    data, doc_ids, starts = f.all().astype("<u4").tobytes(), f.doc_ids, f.starts
+                for at in range(0, len(doc_ids), 2000):
+                    to = min(at + 2000, len(doc_ids))
+                    s = starts[at : to + 1]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(f.doc_ids[at:to]), pa.array(base + s[:-1]), pa.array([data[4 * a : 4 * b] for a, b in zip(s[:-1].tolist(), s[1:].tolist())], pa.binary())],
+                        [pa.array(doc_ids[at:to]), pa.array(base + s[:-1]), pa.array([data[4 * a : 4 * b] for a, b in zip(s[:-1].tolist(), s[1:].tolist())], pa.binary())],
                         names=["doc_id", "start", "ids"],
                     )
 

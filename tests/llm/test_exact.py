@@ -117,7 +117,6 @@ def encoded(name, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(str(public_tokenizers.path(name)))
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, end]
 
 
@@ -132,22 +131,54 @@ def test_token_files(spark, sf, texts):
 
 def test_addressable_codes(tmp_path):
     ids = np.random.default_rng(1).choice([1, 200, 300, 70_000, 2**31], 5000).astype("<u4")
-    token_files.write_file(f"file://{tmp_path}/x.dac", [1, 2], [ids[:10].tobytes(), ids[10:].tobytes()])
+    token_files.write_file(f"file://{tmp_path}/x.dac", [1, 2], [ids[:10], ids[10:]])
     f = token_files.TokenFile(f"file://{tmp_path}/x.dac")
     assert (f.all() == ids).all() and [f.token(i) for i in range(0, 5000, 97)] == ids[::97].tolist()
     assert f.starts.tolist() == [0, 10, 5000]
 
 
+ODD = [
+    "a \xa0b", "a\xa0\n b", "  x  y\n\n z ", "it's  they'LL 's x", "\x1c\x1f a", "ΑΣ ΟΣ'", "é ́b İI", "<|endoftext|> a<|startoftext|>b", " ", "\n\n", "\na\nb", "日本語 123,,,", "a b 　 c", "x\r\ny\tz",
+    "₏B", "\U0001f600₏", "ͦ₞", "<|ENDOFTEXT|>", "a×b÷c", "dog'sx !'s", "\ufeffa", "a\u200b b", "ſİıŸŉ",
+]
+
+
+def random_texts(seed: int, n: int) -> list[str]:
+    r = random.Random(seed)
+    signs = [*"abzAZ019 \t\n\r.,;!'$#<|>-_", "  ", "\n\n", " \n", "'s", "'t", "'re", "<|endoftext|>", "<|startoftext|>", *"éÉßüÜñŉſİıŸÿĀāŽž×÷°«»“”—…€₏₞ͦ́\xa0\u3000\u2009\x85\x1c\x1f\x00\x7f日本語한국абвΣςσ😀²½٣\u200b\ufeff"]
+    out = []
+    for k in range(n):
+        if k % 4:
+            out.append("".join(r.choices(signs, k=r.randint(0, 24))))
+        else:
+            codes = [r.randint(0, r.choice([0x250, 0x2FFF, 0x10FFFF])) for _ in range(r.randint(0, 24))]
+            out.append("".join(chr(c) for c in codes if not 0xD800 <= c < 0xE000))
+    return out
+
+
 @pytest.mark.parametrize("name,kind", [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
-def test_chunked_encoding(name, kind):
+def test_encoding_as_the_library(name, kind, monkeypatch):
     import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path(name))
+    library, e = Tokenizer.from_file(path), tokens.Encoder(path, kind)
+    cases = ODD + random_texts(5, 10_000)
+    want = [library.encode(text, add_special_tokens=False).ids for text in cases]
+    got = [ids.tolist() for ids in e.encode_all([text.encode() for text in cases])]
+    assert [text for text, a, b in zip(cases, got, want) if a != b] == []
+    # cut into short parts, and with a table that is always full
+    monkeypatch.setattr(tokens, "PASS_BYTES", 40)
+    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 3)
+    long = [" ".join(cases[i : i + 50]) for i in range(0, 2000, 50)] + [cases[7]]
+    assert [x.tolist() for x in tokens.Encoder(path, kind).encode_all([t.encode() for t in long])] == [library.encode(t, add_special_tokens=False).ids for t in long]
+
+
+def test_added_tokens_keep_their_ids():
+    for name, kind, ids in (("byte_bpe_50k.json", "byte", [50256]), ("word_bpe_49k.json", "word", [49407])):
+        import public_tokenizers
 
-    e = tokens.Encoder(str(public_tokenizers.path(name)), kind)
-    odd = ["a \xa0b", "a\xa0\n b", "  x  y\n\n z ", "it's  they'LL 's x", "\x1c\x1f a", "ΑΣ ΟΣ'", "é ́b İI", "<|endoftext|> a<|startoftext|>b", " ", "\n\n", "\na\nb", "日本語 123,,,", "a b 　 c", "x\r\ny\tz"]
-    r = random.Random(5)
-    odd += ["".join(r.choices("ab'é \n\t.,1 s", k=30)) for _ in range(300)]
-    for text in odd:
-        assert e.encode(text) == e.whole(text), repr(text)
+        assert tokens.Encoder(str(public_tokenizers.path(name)), kind).encode("<|endoftext|>").tolist() == ids
 
 
 def test_packing(spark, sf, texts):
