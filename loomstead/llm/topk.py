@@ -56,28 +56,28 @@ def rank_key(score: int) -> bytes:
     return b"\x00" + (0xFFFF - size).to_bytes(2, "big") + (score + (1 << 8 * size)).to_bytes(size, "big")
 
 
-def max_score(ids: np.ndarray, columns: np.ndarray, query_id: int, query: np.ndarray, k: int, step: int = 8):
-    """The k best (score, id) of a shard. ids ascend; columns[d, i] is component d of vector i."""
-    high, low = columns.max(axis=1), columns.min(axis=1)
+def max_score(ids: np.ndarray, columns: np.ndarray, query_id: int, query: np.ndarray, k: int, step: int = 8, spans: tuple | None = None):
+    """The k best (score, id) of a shard. ids ascend; columns[d, i] is component d of vector i; spans: each term's largest and smallest value."""
+    high, low = spans or (columns.max(axis=1), columns.min(axis=1))
     if float(np.abs(query).max()) * float(max(high.max(), -low.min())) * len(query) >= 2.0**52:  # beyond exact doubles
         columns, query, high, low = (x.astype(np.int64) for x in (columns, query, high, low))
-    bounds = np.maximum(query * high, query * low)
-    order = np.argsort(-np.abs(query) * (high - low), kind="stable")
-    rest = np.concatenate([np.cumsum(bounds[order][::-1])[::-1], [0]])
+    most, least = np.maximum(query * high, query * low), np.minimum(query * high, query * low)
+    order = np.argsort(least - most, kind="stable")
+    rest, worst = (np.append(np.cumsum(x[order][::-1])[::-1], 0) for x in (most, least))
+    # the essential terms are traversed for all vectors
+    at = min(3 * step, len(order))
+    scores = query[order[:at]] @ columns[order[:at]]
     alive = np.flatnonzero(ids != query_id)
-    scores = np.zeros(len(alive), columns.dtype)
-    worst = np.concatenate([np.cumsum(np.minimum(query * high, query * low)[order][::-1])[::-1], [0]])
-    at = 0
+    scores = scores[alive]
     while at < len(order):
-        to = len(order) if len(alive) <= 4 * k else min(at + (3 * step if at == 0 else step), len(order))
-        terms = order[at:to]
-        part = columns[np.ix_(terms, alive)] if len(alive) < len(ids) - 1 else columns[terms][:, alive]
-        scores = scores + query[terms] @ part
-        at = to
-        if len(alive) > k and at < len(order):
+        if len(alive) > k:
             reached = np.partition(scores, len(scores) - k)[len(scores) - k] + worst[at]
             keep = scores + rest[at] >= reached
             alive, scores = alive[keep], scores[keep]
+        to = len(order) if len(alive) <= 4 * k else min(at + step, len(order))
+        terms = order[at:to]
+        scores = scores + query[terms] @ columns[np.ix_(terms, alive)]
+        at = to
     best = np.lexsort((ids[alive], -scores))[:k]
     return scores[best].astype(np.int64), ids[alive][best]
 
@@ -94,6 +94,7 @@ class Shard:
         self.order = order[small[order]]
         self.ids = ids[self.order]
         self.columns = np.ascontiguousarray(np.floor(x[self.order] * scale).T)
+        self.spans = (self.columns.max(axis=1), self.columns.min(axis=1)) if self.columns.size else None
         self.x, self.all_ids = x, ids
         self.large = [(int(ids[i]), exact(x[i].tolist(), scale)) for i in np.flatnonzero(~small)]
 
@@ -105,7 +106,7 @@ class Shard:
         else:
             found = []
             if len(self.ids) and len(x):
-                scores, ids = max_score(self.ids, self.columns, query_id, np.floor(x * self.scale), k)
+                scores, ids = max_score(self.ids, self.columns, query_id, np.floor(x * self.scale), k, spans=self.spans)
                 found = list(zip(scores.tolist(), ids.tolist()))
             elif len(self.ids):
                 found = [(0, i) for i in self.ids[self.ids != query_id][:k].tolist()]
