@@ -284,30 +284,77 @@ def test_max_score():
         assert found.tolist() == order and s.tolist() == full[order].tolist()
 
 
-def test_nearest_examples():
-    r = random.Random(8)
-    words = [f"{chr(97 + i // 8)}{chr(97 + i % 8)}" for i in range(60)]
-    sample = [(i, " ".join(r.choices(words, k=12)), i % 3 == 0 and 1 or 0, 1.0) for i in range(400)]
-    idf = np.linspace(1, 2, len(words))
-    index = toxicity.Index(sample, words, idf, k=7, block=16)
-    reader = toxicity.Terms(words)
-    vectors = np.zeros((400, len(words)))
-    for i, s in enumerate(sample):
-        t, w = toxicity.vector(reader.counts(s[1]), idf)
-        vectors[i, t] = w
-    for i in range(0, 400, 37):
-        places, cosines = index.nearest(*toxicity.vector(reader.counts(sample[i][1]), idf))
-        full = vectors @ vectors[i]
-        assert np.allclose(cosines, np.sort(full)[::-1][:7]) and places[0] == np.lexsort((np.arange(400), -np.round(full, 12)))[0]
-
-
-def test_toxicity_held_out(spark):
+def toxicity_by_hand(docs, labels, sample):
+    """Vectors of TF-IDF times relevance frequency, as dicts, of all documents."""
+    import math
+    import re
+
+    def terms(text):
+        out = Counter()
+        for w in re.findall(r"[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\uffff]+", text.lower()):
+            out[w] += 1
+            if len(w) > 4:
+                out[w[:4] + "-"] += 1
+        return out
+
+    counts = {i: terms(t or "") for i, t in docs.items()}
+    df, have = Counter(), {0: Counter(), 1: Counter()}
+    for c in counts.values():
+        df.update(c.keys())
+    known = Counter(y for i, y in labels.items() if zlib.crc32(str(i).encode()) % 4 != 2)
+    picked = Counter(labels[i] for i in sample)
+    for i in sample:
+        have[labels[i]].update(dict.fromkeys(counts[i], known[labels[i]] / picked[labels[i]]))
+    unit = known[0] / picked[0]
+    vectors = {}
+    for i, c in counts.items():
+        v = {t: (1 + math.log(n)) * math.log((1 + len(docs)) / (1 + df[t])) * math.log2(2 + have[1][t] / max(unit, have[0][t])) for t, n in c.items() if have[0][t] or have[1][t]}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        vectors[i] = {t: x / length for t, x in v.items()} if length else {}
+    return vectors
+
+
+@pytest.mark.parametrize("bounds", [{}, {"most_toxic": 12, "most_others": 30}])
+def test_nearest_examples(spark, bounds):
     sf = "/root/testdata/sf0.01"
+    docs, labels = dict(read(sf, "documents", ["doc_id", "text"])), dict(read(sf, "labels", ["doc_id", "toxic"]))
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    fitted = toxicity.fit(table, spark.read.parquet(f"{sf}/labels.parquet"), **bounds)
+    sample = fitted.index.ids.tolist()
+    learned = {i for i in labels if zlib.crc32(str(i).encode()) % 4 != 2 and i in docs}
+    assert set(sample) <= learned and (bounds or set(sample) == learned)
+    vectors = toxicity_by_hand(docs, labels, sample)
+    for r in toxicity.score(table.where("doc_id % 7 = 0"), fitted).collect():
+        cosines = {j: sum(x * vectors[j].get(t, 0.0) for t, x in vectors[r.doc_id].items()) for j in sample}
+        want = sorted((c for c in cosines.values() if c > 1e-12), reverse=True)[:15]
+        assert np.allclose([e.cosine for e in r.evidence], want, atol=1e-9)
+        assert all(abs(e.cosine - cosines[e.doc_id]) < 1e-9 and e.toxic == labels[e.doc_id] for e in r.evidence)
+        assert 0 <= r.score <= 1 and len({e.doc_id for e in r.evidence}) == len(r.evidence)
+
+
+def test_blocks_are_passed_over():
+    """Texts like few examples: blocks whose bound is too low are not visited, and the result is the exact one."""
+    r = np.random.default_rng(3)
+    rows = [(e, t, int(r.integers(1, 4))) for e in range(600) for t in sorted(set(r.integers(0, 30, 6).tolist()) | {30 + e // 20, 60 + e})]
+    rows = tuple(np.array(c) for c in zip(*rows))
+    index = toxicity.Index(rows, np.linspace(1, 4, 660), np.arange(600), (np.arange(600) % 5 == 0).astype(int), np.ones(600), k=5, block=16)
+    places, cosines = index.nearest(*rows, 600)
+    full = np.zeros((600, 660))
+    full[rows[0], rows[1]] = index._weights(*rows, 600)
+    products = full @ full.T
+    assert np.allclose(cosines, -np.sort(-products, axis=1)[:, :5]) and np.allclose(products[np.arange(600)[:, None], index.ids[places]], cosines)
+
+
+def test_toxicity_held_out():
+    """Held-out recall, on the largest of the small tables."""
+    from loomstead.session import local_session
+
+    sf = "/root/testdata/sf0.1"
     labels = dict(read(sf, "labels", ["doc_id", "toxic"]))
-    rows = [r for r in Q["op5_toxicity"](spark, sf).collect() if r.held_out and r.doc_id in labels]
+    rows = [r for r in Q["op5_toxicity"](local_session(4, 4, "4g"), sf).collect() if r.held_out and r.doc_id in labels]
     hit = Counter((labels[r.doc_id], r.predicted) for r in rows)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
-    assert hit[1, 1] >= hit[1, 0] and hit[0, 1] <= 0.05 * (hit[0, 0] + hit[0, 1])
+    assert hit[1, 1] >= 0.9 * (hit[1, 0] + hit[1, 1]) and hit[0, 1] <= 0.015 * (hit[0, 0] + hit[0, 1])
 
 
 def test_quality(spark):
