@@ -1,4 +1,4 @@
-"""A small HTML tree for block-level nodes, read with one regular expression."""
+"""A small HTML tree for block-level nodes, read with one regular expression in time linear in the page, however deep it is."""
 
 from __future__ import annotations
 
@@ -15,9 +15,11 @@ BLOCK = frozenset(
 )
 CLOSES_P = BLOCK - frozenset("html head body option button select textarea script style title template noscript iframe svg math object video audio canvas td th tr tbody thead tfoot caption".split())
 ENDS_BEFORE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Elements above which an open paragraph is not looked for.
+P_SCOPES = ("button", "td", "th", "table", "caption", "object", "template")
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
 
-_TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+_TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?/][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|aria-label|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _TOKENS = re.compile(r"[a-z]+")
 
@@ -25,13 +27,13 @@ _TOKENS = re.compile(r"[a-z]+")
 class Node:
     """A block-level element: its place in the tree and the runs of text directly in it."""
 
-    __slots__ = ("tag", "tokens", "parent", "depth", "children", "runs", "links", "link_chars", "inline", "order", "end")
+    __slots__ = ("tag", "tokens", "parent", "depth", "n_children", "runs", "links", "link_chars", "inline", "order", "end")
 
     def __init__(self, tag: str, tokens: tuple, parent: "Node | None", order: int):
         self.tag, self.tokens, self.parent, self.order = tag, tokens, parent, order
         self.depth = parent.depth + 1 if parent else 0
-        self.children: list[Node] = []
-        self.runs: list[tuple[int, str]] = []  # (place in the page, text)
+        self.n_children = 0
+        self.runs: list[tuple[int, str]] | tuple = ()  # (place in the page, text)
         self.links = self.link_chars = self.inline = 0
         self.end = order
 
@@ -55,6 +57,8 @@ def parse(page: str) -> list[Node]:
     """Block-level nodes in page order; the first is a root above all."""
     nodes = [Node("#root", (), None, 0)]
     block, stack, place = nodes[0], [], 0  # stack: inline elements and blocks, innermost last: (tag, node or None)
+    open_: dict[str, list[int]] = {}  # where in the stack the elements of a tag are
+    blocks: list[int] = []  # where in the stack the blocks are
     pending: list[str] = []
     anchors = 0
 
@@ -65,22 +69,38 @@ def parse(page: str) -> list[Node]:
             pending.clear()
             if text:
                 place += 1
-                block.runs.append((place, text))
+                if block.runs:
+                    block.runs.append((place, text))
+                else:
+                    block.runs = [(place, text)]
+
+    def push(tag: str, node: Node | None) -> None:
+        open_.setdefault(tag, []).append(len(stack))
+        if node is not None:
+            blocks.append(len(stack))
+        stack.append((tag, node))
 
     def pop_to(index: int) -> None:
         nonlocal block, anchors
-        for tag, node in reversed(stack[index:]):
+        while len(stack) > index:
+            tag, node = stack.pop()
+            open_[tag].pop()
             if node is not None:
                 flush()
+                blocks.pop()
                 node.end = len(nodes)
                 block = node.parent
             elif tag == "a":
                 anchors = max(0, anchors - 1)
-        del stack[index:]
+
+    def innermost(tags) -> int:
+        """Where the innermost open element of some tags is, or -1."""
+        return max((open_[t][-1] for t in tags if open_.get(t)), default=-1)
 
     at, end = 0, len(page)
+    last = page.rfind(">")
     while at < end:
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, at) if at <= last else None
         text = page[at : m.start() if m else end]
         if text:
             pending.append(text)
@@ -94,43 +114,35 @@ def parse(page: str) -> list[Node]:
             continue
         tag = tag.lower()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop_to(i)
-                    break
-                if stack[i][1] is not None and tag not in BLOCK:
-                    break  # an inline end tag does not leave its block
+            found = innermost((tag,))
+            # an inline end tag does not leave its block
+            if found >= 0 and (tag in BLOCK or not blocks or found >= blocks[-1]):
+                pop_to(found)
             continue
         if tag == "br":
             pending.append(" ")
             continue
         if tag in BLOCK:
             if tag in CLOSES_P:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        pop_to(i)
-                        break
-                    if stack[i][0] in ("button", "td", "th", "table", "caption", "object", "template"):
-                        break
+                found = innermost(("p",))
+                if found > innermost(P_SCOPES):
+                    pop_to(found)
             if tag in ENDS_BEFORE:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ENDS_BEFORE[tag]:
-                        pop_to(i)
-                        break
-                    if stack[i][0] in SCOPES[tag]:
-                        break
-            if tag in ("html", "body", "head") and any(t == tag for t, _ in stack):
+                found = innermost(ENDS_BEFORE[tag])
+                if found > innermost(SCOPES[tag]):
+                    pop_to(found)
+            if tag in ("html", "body", "head") and open_.get(tag):
                 continue
-            if tag == "body":
-                pop_to(next((i for i, (t, _) in enumerate(stack) if t == "head"), len(stack)))
+            if tag == "body" and open_.get("head"):
+                pop_to(open_["head"][0])
             flush()
             node = Node(tag, attribute_tokens(m[3]) if m[3] else (), block, len(nodes))
-            block.children.append(node)
+            block.n_children += 1
             nodes.append(node)
             if tag in VOID or m[3].rstrip().endswith("/") and tag in ("svg", "math"):
                 node.end = len(nodes)
                 continue
-            stack.append((tag, node))
+            push(tag, node)
             block = node
             if tag in RAW:
                 close = re.compile(rf"</{tag}\s*/?>", re.I).search(page, at)
@@ -142,7 +154,7 @@ def parse(page: str) -> list[Node]:
         else:
             block.inline += 1
             if tag not in VOID:
-                stack.append((tag, None))
+                push(tag, None)
                 if tag == "a":
                     anchors += 1
                     block.links += 1

@@ -19,7 +19,6 @@ empty table gives no rows. Other columns are not read (``url`` is, if it is ther
 from __future__ import annotations
 
 import random
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -44,75 +43,103 @@ TOKENS = (
 _TAG_PLACE, _TOKEN_PLACE = {t: i for i, t in enumerate(TAGS)}, {t: i for i, t in enumerate(TOKENS)}
 _ABOVE = {t: i for i, t in enumerate("article main nav header footer aside form section ul table figure blockquote".split())}
 NUMBERS = 24
+#: Nodes whose features are made at once.
+SLICE_NODES = 1 << 15
+
+
+class Features:
+    """Features of the nodes of some pages: numbers, the tag, its own attribute tokens, tokens and tags above it; made for a slice of nodes at a time."""
+
+    WIDTH = NUMBERS + len(TAGS) + 2 * len(TOKENS) + len(_ABOVE)
+
+    def __init__(self, pages: list[list[Node]]):
+        self.size = size = sum(map(len, pages))
+        own = np.zeros((9, size), np.float32)  # chars, words, links, link chars, commas, is p, depth, children, inline
+        self.parent, self.page, ends = (np.zeros(size, np.int32) for _ in range(3))
+        tag, codes, same = np.full(size, -1, np.int16), np.zeros(size, np.int16), {}
+        self.tokens, self.above, self.tags_above = [0] * size, [0] * size, [0] * size
+        base, first, known = 0, [], {}
+        for nodes in pages:
+            first.append(base)
+            for i, d in enumerate(nodes, base):
+                if d.runs:
+                    own[0, i] = sum(len(t) for _, t in d.runs)
+                    own[1, i] = sum(t.count(" ") + 1 for _, t in d.runs)
+                    own[4, i] = sum(t.count(",") + t.count(". ") for _, t in d.runs)
+                own[2, i], own[3, i], own[5, i], own[6, i], own[7, i], own[8, i] = d.links, d.link_chars, d.tag == "p", d.depth, d.n_children, d.inline
+                up = base + d.parent.order if d.parent else i
+                self.parent[i], ends[i] = up, base + d.end
+                tag[i], codes[i] = _TAG_PLACE.get(d.tag, -1), same.setdefault(d.tag, len(same))
+                mine = 0
+                for t in d.tokens:
+                    at = _TOKEN_PLACE.get(t)
+                    if at is not None:
+                        mine |= 1 << at
+                self.tokens[i] = known.setdefault(mine, mine)
+                if up != i:
+                    over = self.above[up] | self.tokens[up]
+                    self.above[i] = known.setdefault(over, over)
+                    at = _ABOVE.get(d.parent.tag)
+                    self.tags_above[i] = self.tags_above[up] | (1 << at if at is not None else 0)
+            self.page[base : base + len(nodes)] = base
+            base += len(nodes)
+        self.own, self.tag = own, tag
+        # place among the siblings, siblings, and those of the same tag; a root has itself alone
+        family = self.parent.astype(np.int64)
+        family[first] = size + np.arange(len(first))
+        order = np.argsort(family, kind="stable")
+        ranked = family[order]
+        self.place, self.siblings, self.same = (np.empty(size, np.int32) for _ in range(3))
+        starts = np.searchsorted(ranked, ranked)
+        self.place[order] = np.arange(size) - starts
+        self.siblings[order] = np.searchsorted(ranked, ranked, side="right") - starts
+        _, back, n = np.unique(family * max(1, len(same)) + codes, return_inverse=True, return_counts=True)
+        self.same[:] = n[back]
+        start = np.arange(size)
+
+        def subtree(v):
+            total = np.concatenate([[0], np.cumsum(v, dtype=np.float64)])
+            return (total[ends] - total[start]).astype(np.float32)
+
+        self.below = [subtree(v) for v in (*own[:6], np.ones(size, np.float32))]
+
+    def rows(self, a: int, b: int) -> np.ndarray:
+        """A row for each node from a to b."""
+        at, up, page = slice(a, b), self.parent[a:b], self.page[a:b]
+        chars, words, links, link_chars, commas, paragraphs, n = self.below
+        some, whole = lambda i: np.maximum(1.0, chars[i]), np.maximum(1.0, chars[page])
+        own = self.own[:, at]
+        numbers = (
+            own[6], own[7], self.siblings[at], self.place[at] / np.maximum(1, self.siblings[at] - 1), self.same[at] / self.siblings[at], (np.arange(a, b) - page) / n[page],
+            np.log1p(own[0]), np.log1p(own[1]), np.log1p(chars[at]), chars[at] / whole, chars[at] / n[at],
+            link_chars[at] / some(at), links[at] / np.maximum(1.0, words[at] / 10), commas[at] / np.maximum(1.0, words[at]), np.log1p(paragraphs[at]), paragraphs[at] / n[at],
+            np.log1p(chars[up]), link_chars[up] / some(up), np.log1p(paragraphs[up]), chars[up] / whole, chars[at] / some(up),
+            own[8], own[2], np.log1p(n[at]),
+        )
+        x = np.zeros((b - a, self.WIDTH), np.float32)
+        for j, v in enumerate(numbers):
+            x[:, j] = v
+        known = np.flatnonzero(self.tag[at] >= 0)
+        x[known, NUMBERS + self.tag[at][known]] = 1
+        column = NUMBERS + len(TAGS)
+        for masks, bits in ((self.tokens, len(TOKENS)), (self.above, len(TOKENS)), (self.tags_above, len(_ABOVE))):
+            width = (bits + 7) // 8
+            packed = np.frombuffer(b"".join([m.to_bytes(width, "little") for m in masks[at]]), np.uint8).reshape(-1, width)
+            x[:, column : column + bits] = np.unpackbits(packed, axis=1, count=bits, bitorder="little")
+            column += bits
+        return x
 
 
 def features(pages: list[list[Node]]) -> np.ndarray:
-    """A row for each node of some pages: numbers, the tag, its own attribute tokens, tokens and tags above it."""
-    size = sum(map(len, pages))
-    own = np.zeros((10, size))  # chars, words, links, link chars, commas, is p, depth, children, inline, end
-    parent, page, place, siblings, same = (np.zeros(size, np.int64) for _ in range(5))
-    tag, token_rows, token_columns, tag_rows, tag_columns = np.full(size, -1), [], [], [], []
-    counted, base = [], 0
-    for nodes in pages:
-        for i, d in enumerate(nodes, base):
-            chars = words = commas = 0
-            for _, t in d.runs:
-                chars += len(t)
-                words += t.count(" ") + 1
-                commas += t.count(",") + t.count(". ")
-            counted.append((chars, words, d.links, d.link_chars, commas, d.tag == "p", d.depth, len(d.children), d.inline, base + d.end))
-            parent[i] = base + d.parent.order if d.parent else i
-            at = _TAG_PLACE.get(d.tag)
-            if at is not None:
-                tag[i] = at
-            if d.tag in _ABOVE:
-                tag_rows.append(i)
-                tag_columns.append(_ABOVE[d.tag])
-            for t in d.tokens:
-                at = _TOKEN_PLACE.get(t)
-                if at is not None:
-                    token_rows.append(i)
-                    token_columns.append(at)
-            if d.children:
-                tags = Counter(k.tag for k in d.children)
-                for k, child in enumerate(d.children):
-                    c = base + child.order
-                    place[c], siblings[c], same[c] = k, len(d.children), tags[child.tag]
-        siblings[base] = same[base] = 1
-        page[base : base + len(nodes)] = base
-        base += len(nodes)
-    own[:] = np.array(counted, np.float64).reshape(-1, 10).T
-    start, ends, depth = np.arange(size), own[9].astype(np.int64), own[6].astype(np.int64)
-
-    def subtree(v):
-        total = np.concatenate([[0], np.cumsum(v)])
-        return total[ends] - total[start]
-
-    chars, words, links, link_chars, commas, paragraphs, n = (subtree(v) for v in (*own[:6], np.ones(size)))
-    whole, some = np.maximum(1.0, chars[page]), np.maximum(1.0, chars)
-    x = np.zeros((size, NUMBERS + len(TAGS) + 2 * len(TOKENS) + len(_ABOVE)), np.float32)
-    numbers = (
-        depth, own[7], siblings, place / np.maximum(1, siblings - 1), same / siblings, (start - page) / n[page],
-        np.log1p(own[0]), np.log1p(own[1]), np.log1p(chars), chars / whole, chars / n,
-        link_chars / some, links / np.maximum(1.0, words / 10), commas / np.maximum(1.0, words), np.log1p(paragraphs), paragraphs / n,
-        np.log1p(chars[parent]), (link_chars / some)[parent], np.log1p(paragraphs[parent]), chars[parent] / whole, chars / some[parent],
-        own[8], own[2], np.log1p(n),
-    )
-    for j, v in enumerate(numbers):
-        x[:, j] = v
-    known = np.flatnonzero(tag >= 0)
-    x[known, NUMBERS + tag[known]] = 1
-    first = NUMBERS + len(TAGS)
-    second, third = first + len(TOKENS), first + 2 * len(TOKENS)
-    x[token_rows, first + np.array(token_columns, np.int64)] = 1
-    tags = np.zeros((size, len(_ABOVE)), np.float32)
-    tags[tag_rows, tag_columns] = 1
-    for level in range(1, int(depth.max(initial=0)) + 1):
-        rows = np.flatnonzero(depth == level)
-        up = parent[rows]
-        x[rows, second:third] = np.maximum(x[up, first:second], x[up, second:third])
-        x[rows, third:] = np.maximum(tags[up], x[up, third:])
-    return x
+    made = Features(pages)
+    return made.rows(0, made.size)
+
+
+def log_odds(trees: boosting.Trees, pages: list[list[Node]]) -> np.ndarray:
+    """Of each node of some pages; SLICE_NODES rows of features exist at a time."""
+    made = Features(pages)
+    parts = [trees.log_odds(made.rows(a, min(a + SLICE_NODES, made.size))) for a in range(0, made.size, SLICE_NODES)]
+    return np.concatenate([np.zeros(0), *parts])
 
 
 def decode(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
@@ -214,7 +241,7 @@ def extract(pages: DataFrame, trees: boosting.Trees | None = None) -> DataFrame:
             for batch in slices(whole, "html", 1 << 20):
                 parsed = [parse(h or "") for h in batch.column(2).to_pylist()]
                 sizes = np.cumsum([0, *map(len, parsed)])
-                odds = found.log_odds(features(parsed))
+                odds = log_odds(found, parsed)
                 texts = [main_text(p, odds[a:b]) for p, a, b in zip(parsed, sizes[:-1], sizes[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
