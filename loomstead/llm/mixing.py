@@ -3,17 +3,18 @@
 Sources get targets by weight, none above ``cap`` times its size. A source's
 documents are dealt to shards by a hash, laid end to end in a seeded order, and
 cut into blocks of equal size. Blocks are apportioned to sources by the highest
-quotients v / (2 a + 1), then a source's blocks to its shards in the same way.
+quotients v / (2 a + 1), then a source's blocks to groups of GROUP_SHARDS shards
+and a group's to its shards in the same way.
 A shard takes each of its blocks quota div n times, and the first quota mod n
 in seeded order once more. All of it is DataFrame work on (id, source, size).
 
 Quotients are compared near the natural quota alone: at one vote a block no
 source's seats can differ from its quota by more than the stated margin, so as
-many rows are ranked as there are sources (or shards of a source), not blocks.
+many rows are ranked as there are sources (or groups, or shards of a group), not blocks.
 
 Defined cases: a null text has size 0; a null source is a source of its own,
 last by code point; rows of size 0 take nothing; rows without a doc_id count
-like others; repeated rows are separate rows; if all sizes are 0, nothing is
+like others (their text deals them to shards); repeated rows are separate rows; if all sizes are 0, nothing is
 taken; an empty table gives no rows. Other columns are not read.
 """
 
@@ -25,12 +26,13 @@ from pyspark.sql import functions as F
 from loomstead.llm.common import WORD, staged
 
 # Fixed values of the production mix.
-WEIGHTS, CAP, BLOCK, SHARD_WORDS, MOST_SHARDS, SEED = (5, 2, 1), 3, 128, 1 << 16, 4096, "mix-1"
+WEIGHTS, CAP, BLOCK, SHARD_WORDS, GROUP_SHARDS, SEED = (5, 2, 1), 3, 128, 1 << 16, 1024, "mix-1"
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words of the whole text)."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """doc_id, source, key (that deals a row to its shard), size (words of the whole text)."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("none"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    return docs.select("doc_id", "source", key.alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -76,16 +78,17 @@ def apportioned(rows: DataFrame, by: list[str], key: list[str]) -> DataFrame:
 
 
 def mix(
-    docs: DataFrame, weights=WEIGHTS, cap: int = CAP, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: str = SEED
+    docs: DataFrame, weights=WEIGHTS, cap: int = CAP, block: int = BLOCK, shard_words: int = SHARD_WORDS,
+    group_shards: int = GROUP_SHARDS, seed: str = SEED,
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every row of (doc_id, source, text)."""
     rows = staged(sized(docs), "sizes")
-    plan = staged(targets(rows, weights, cap).withColumn("shards", F.least(F.lit(MOST_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).cast("long")), "targets")
+    plan = staged(targets(rows, weights, cap).withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long")), "targets")
     dealt = rows.join(plan, rows["source"].eqNullSafe(plan["source"])).drop(plan["source"])
-    hashed = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    hashed = F.md5(F.concat_ws("|", F.lit(seed), "key"))
     dealt = dealt.withColumn("h", hashed).withColumn("shard", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.col("shards")))
     line = Window.partitionBy("rank", "shard").orderBy(F.substring("h", 9, 24), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    laid = staged(dealt.withColumn("at", F.sum("size").over(line) - F.col("size")).drop("h", "shards"), "laid")
+    laid = staged(dealt.withColumn("at", F.sum("size").over(line) - F.col("size")).drop("h", "key", "shards"), "laid")
 
     shards = laid.groupBy("rank", "shard", "source_size", "target").agg(F.sum("size").alias("words")).where("words > 0")
     shards = staged(shards.withColumn("blocks", F.ceil(F.col("words") / block).cast("long")), "shards")
@@ -94,8 +97,13 @@ def mix(
     all_sources = Window.partitionBy("one")
     sources = sources.withColumn("seats", F.round(F.sum(F.round("votes", 6)).over(all_sources)).cast("long"))
     quotas = apportioned(sources, ["one"], ["rank"]).select("rank", F.col("blocks").alias("of"), F.col("quota").alias("seats"))
-    each = shards.join(quotas, "rank").withColumn("votes", F.col("seats") * F.col("blocks") / F.col("of")).withColumn("most", F.col("blocks") * cap)
-    shard_quotas = staged(apportioned(each.select("rank", "shard", "words", "blocks", "seats", "votes", "most"), ["rank"], ["shard"]), "quotas")
+    shards = shards.withColumn("group", F.expr(f"shard div {group_shards}"))
+    groups = shards.groupBy("rank", "group").agg(F.sum("blocks").alias("blocks")).join(quotas, "rank")
+    groups = groups.withColumn("votes", F.col("seats") * F.col("blocks") / F.col("of")).withColumn("most", F.col("blocks") * cap)
+    group_quotas = apportioned(groups.select("rank", "group", "blocks", "seats", "votes", "most"), ["rank"], ["group"])
+    group_quotas = group_quotas.select("rank", "group", F.col("blocks").alias("of"), F.col("quota").alias("seats"))
+    each = shards.join(group_quotas, ["rank", "group"]).withColumn("votes", F.col("seats") * F.col("blocks") / F.col("of")).withColumn("most", F.col("blocks") * cap)
+    shard_quotas = staged(apportioned(each.select("rank", "group", "shard", "words", "blocks", "seats", "votes", "most"), ["rank", "group"], ["shard"]).drop("group"), "quotas")
 
     b = shard_quotas.withColumn("b", F.explode(F.expr("sequence(0L, blocks - 1)")))
     seeded = Window.partitionBy("rank", "shard").orderBy(F.md5(F.concat_ws("|", F.lit(seed), "rank", "shard", "b")), "b")
@@ -115,7 +123,7 @@ def mix(
 #: The same for DuckDB, step by step; ``{documents}`` is the input.
 ORACLE = """
 WITH rows_ AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM {documents}),
+  SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), 'none' || md5(coalesce(text, ''))) AS key, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM {documents}),
 each_ AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rows_ GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rnk FROM each_),
 weighted AS (SELECT *, CAST([5, 2, 1][(rnk - 1) % 3 + 1] AS DOUBLE) AS weight, CAST(3 * source_size AS DOUBLE) AS lim FROM ranked),
@@ -123,8 +131,8 @@ rates AS (SELECT *, (sum(CAST(source_size AS DOUBLE)) OVER () - coalesce(sum(lim
   FROM weighted WINDOW p AS (ORDER BY lim / weight, rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 final_rate AS (SELECT arg_min(rate, (lim / weight, rnk)) AS r FROM rates WHERE NOT lim / weight < rate),
 plan_ AS (SELECT rnk, source, source_size, least(lim, weight * coalesce((SELECT r FROM final_rate), 0.0)) AS target,
-  least(4096, greatest(1, CAST(ceil(source_size / 65536) AS BIGINT))) AS shards FROM weighted),
-dealt AS (SELECT d.doc_id, d.source, d.size, p.rnk, p.source_size, p.target, p.shards, md5('mix-1|' || coalesce(CAST(d.doc_id AS VARCHAR), 'none')) AS h
+  greatest(1, CAST(ceil(source_size / 65536) AS BIGINT)) AS shards FROM weighted),
+dealt AS (SELECT d.doc_id, d.source, d.size, p.rnk, p.source_size, p.target, p.shards, md5('mix-1|' || d.key) AS h
   FROM rows_ d JOIN plan_ p ON d.source IS NOT DISTINCT FROM p.source),
 laid AS (SELECT *, CAST(sum(size) OVER (PARTITION BY rnk, shard ORDER BY substr(h, 9, 24), doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS at_
   FROM (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % shards AS shard FROM dealt)),
@@ -134,9 +142,13 @@ src_seats AS (SELECT *, (SELECT CAST(round(sum(round(votes, 6))) AS BIGINT) FROM
 src_try AS (SELECT rnk, votes, seats, unnest(range(3 * blocks)) AS a FROM src_seats),
 src_won AS (SELECT rnk FROM (SELECT rnk, row_number() OVER (ORDER BY votes / (2 * a + 1) DESC, rnk, a) AS k, seats FROM src_try) WHERE k <= seats),
 src_quota AS (SELECT s.rnk, s.blocks AS of_, count(w.rnk) AS seats FROM src s LEFT JOIN src_won w USING (rnk) GROUP BY ALL),
-sh AS (SELECT s.rnk, s.shard, s.words, s.blocks, q.seats, q.seats * s.blocks / q.of_ AS votes FROM shards_ s JOIN src_quota q USING (rnk)),
-sh_try AS (SELECT rnk, shard, seats, votes, unnest(range(3 * blocks)) AS a FROM sh),
-sh_won AS (SELECT rnk, shard FROM (SELECT rnk, shard, seats, row_number() OVER (PARTITION BY rnk ORDER BY votes / (2 * a + 1) DESC, shard, a) AS k FROM sh_try) WHERE k <= seats),
+gr AS (SELECT s.rnk, s.shard // 1024 AS grp, CAST(sum(s.blocks) AS BIGINT) AS blocks, q.seats, q.seats * sum(s.blocks) / q.of_ AS votes FROM shards_ s JOIN src_quota q USING (rnk) GROUP BY s.rnk, s.shard // 1024, q.seats, q.of_),
+gr_try AS (SELECT rnk, grp, seats, votes, unnest(range(3 * blocks)) AS a FROM gr),
+gr_won AS (SELECT rnk, grp FROM (SELECT rnk, grp, seats, row_number() OVER (PARTITION BY rnk ORDER BY votes / (2 * a + 1) DESC, grp, a) AS k FROM gr_try) WHERE k <= seats),
+gr_quota AS (SELECT g.rnk, g.grp, g.blocks AS of_, count(w.rnk) AS seats FROM gr g LEFT JOIN gr_won w ON g.rnk = w.rnk AND g.grp = w.grp GROUP BY g.rnk, g.grp, g.blocks),
+sh AS (SELECT s.rnk, q.grp, s.shard, s.words, s.blocks, q.seats, q.seats * s.blocks / q.of_ AS votes FROM shards_ s JOIN gr_quota q ON s.rnk = q.rnk AND s.shard // 1024 = q.grp),
+sh_try AS (SELECT rnk, grp, shard, seats, votes, unnest(range(3 * blocks)) AS a FROM sh),
+sh_won AS (SELECT rnk, shard FROM (SELECT rnk, shard, seats, row_number() OVER (PARTITION BY rnk, grp ORDER BY votes / (2 * a + 1) DESC, shard, a) AS k FROM sh_try) WHERE k <= seats),
 quota AS (SELECT s.rnk, s.shard, s.words, s.blocks, count(w.rnk) AS quota FROM sh s LEFT JOIN sh_won w ON s.rnk = w.rnk AND s.shard = w.shard GROUP BY ALL),
 cut AS (SELECT rnk, shard, b, words, blocks, quota // blocks + CASE WHEN row_number() OVER (PARTITION BY rnk, shard ORDER BY md5('mix-1|' || rnk || '|' || shard || '|' || b), b) <= quota % blocks THEN 1 ELSE 0 END AS times
   FROM (SELECT *, unnest(range(blocks)) AS b FROM quota)),

@@ -140,3 +140,14 @@ def test_topk_large_components(spark):
     for q in (i for i in whole if i % 5 == 0):
         scores = sorted((-sum(a * b for a, b in zip(whole[q], e)), i) for i, e in whole.items() if i != q and len(e) == len(whole[q]))[:5]
         assert sorted(found[q]) == [(k, i, max(-(2**63), min(2**63 - 1, -s))) for k, (s, i) in enumerate(scores, 1)], q
+
+
+def test_mixing_in_groups_of_shards(spark):
+    """Many shards in many groups: each document near its share, each source near its target, none above 3 times its size."""
+    rows = [(i if i % 9 else None, "a" if i % 4 else "b", " ".join(["w"] * (1 + i % 40))) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(docs, block=8, shard_words=200, group_shards=4).collect()
+    assert len(got) == 2000 and all(0 <= r.taken <= 3 * r.size for r in got)
+    for source in "ab":
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.01 * mine[0].target
