@@ -376,3 +376,28 @@ def test_run_hashes():
     w = Words(b" a bb\tccc\na bb ccc a")
     h = w.run_hashes(3)
     assert h[0] == h[3] and len(set(h.tolist())) == 3 and w.line == b"a bb ccc a bb ccc a"
+
+
+def test_large_buckets_of_near_copies(spark):
+    """Many edited copies of one text: the same groups whole, in blocks, and by brute force."""
+    from loomstead.llm import minhash
+
+    r = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(150):
+        v = list(base)
+        for _ in range(r.randint(0, 4)):
+            v[r.randrange(60)] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(v))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(56)} for t in texts]
+    group = list(range(150))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for bounds in ({}, {"members": 8}, {"held": 1000}):
+        got = {x.doc_id: x.component_id for x in minhash.near_copies(docs, **bounds).collect()}
+        assert [got[i] for i in range(150)] == group, bounds

@@ -54,3 +54,12 @@ def test_edited_copies(spark, sf):
     docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, sf).collect()}
     assert kept == set(group) and any(texts[i] != texts[g] for i, g in enumerate(group))
+
+
+def test_no_row_is_lost(spark, sf):
+    """One doc_id with different texts: a row of each group stays; of equal rows one."""
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[0]), (3, texts[2]), (3, None), (4, ""), (0, texts[2])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r.doc_id, r.text or "") for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect())
+    assert kept == sorted([(1, texts[0]), (1, texts[1]), (0, texts[2]), (3, "")])
