@@ -1,23 +1,29 @@
-"""Substring dedup by prefix-partitioned suffix trees.
+"""Substring dedup by suffix trees over the suffixes that can repeat, partitioned by variable-length keys.
 
 A window is ``min_words`` consecutive words. A word goes if it lies in a window
 that also starts in a document with a smaller doc_id (judged on the input).
 
-1. Texts equal word by word form classes; all but the smallest doc_id go whole
-   and take no further part.
+1. Each text is read once: a 128-bit hash of its words, and its anchors. Texts equal
+   word by word form classes; all but the smallest doc_id go whole and take no
+   further part.
 2. Each window has an anchor: among the runs of k words in it, the leftmost with
    the least hash. Equal windows have equal anchors, so a window can repeat
    only if its anchor occurs in two texts: the rest of the corpus is not moved.
-3. The suffixes that start at such windows are dealt out by a prefix of variable
-   length: by the anchor's k words where few texts have it, by all words of the
-   window where many have. Equal suffixes are combined before the shuffle.
-4. A task takes its prefixes in order, a memory-sized group at a time, sorts the
-   group's suffixes and reads off the subtree's internal nodes at depth
-   ``min_words`` and the smallest doc_id below each: these are the repeats.
+3. The suffixes that start at such windows are dealt out by keys of variable
+   length: by the anchor's k words where it has few occurrences, by all words of the
+   window where it has many. Equal suffixes are combined before the shuffle.
+4. A task takes its keys in order, a memory-sized group at a time, and builds the
+   group's suffix tree: sorted suffixes with the lengths of common prefixes. Its
+   internal nodes at a depth of ``min_words`` or more are the repeats; each has the
+   smallest doc_id below it.
 5. Each text gets its windows' nodes back and drops the covered words.
 
-Hashes only route and filter; a repeat is one of equal words (a suffix is known
-by 128 bits of hash when its node is handed back).
+The keys of step 3 are not prefixes of the suffixes, as suffix trees partitioned by
+prefix have them: an anchor may start at any of the first words of a window. Prefix
+keys would move every suffix of the corpus.
+
+Hashes route and filter; a repeat is one of equal words (a suffix is known
+by 128 bits of hash when its node is handed back, and so is a text that goes whole).
 
 Defined cases: null and empty texts have no words; rows without a doc_id are left
 out; repeated rows do not remove each other (no smaller doc_id), nor do rows with
@@ -29,6 +35,7 @@ named in ``carry``; they come back in the struct column ``carry``.
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +44,15 @@ from pyspark.sql import functions as F
 
 from loomstead.llm.common import Words, as_bytes, slices, staged
 
-#: Texts with an anchor from which its suffixes are dealt by the whole window.
+#: Occurrences of an anchor from which its suffixes are dealt by the whole window.
 HOT_ANCHOR = 4096
 #: Suffix rows of a memory-sized group.
 GROUP_ROWS = 1 << 15
 
 
-def content_hash(line: bytes) -> int:
-    return int.from_bytes(hashlib.md5(line).digest()[:8], "little", signed=True)
+def content_hash(line: bytes) -> tuple[int, int]:
+    """128 bits that stand for the words of a text."""
+    return struct.unpack("<qq", hashlib.md5(line).digest())
 
 
 def run_length(min_words: int) -> int:
@@ -68,30 +76,31 @@ def anchors(words: Words, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     return h[place], place
 
 
-def _contents(batches):
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            lines = [t.split() for t in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([content_hash(b" ".join(w)) for w in lines], pa.int64()), pa.array([len(w) for w in lines], pa.int64())], names=["doc_id", "content", "n_words"]
-            )
+def anchor_runs(h: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Where the runs of windows of one anchor begin."""
+    return np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(h) else np.zeros(0, np.int64)
 
 
-def _anchor_lists(min_words: int, key: str):
-    """(content or doc_id, distinct anchors) of each text."""
+def _read(min_words: int):
+    """(doc_id, content, high, anchors, times) of each text of a window at least: distinct anchors and their occurrences."""
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                keys, lists = [], []
+                ids, hashes, lists, times = [], [], [], []
                 for i, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
                     words = Words(text)
                     if words.n >= min_words:
-                        keys.append(content_hash(words.line) if key == "content" else i)
-                        lists.append(np.unique(anchors(words, min_words)[0]))
-                if keys:
+                        h, place = anchors(words, min_words)
+                        found, n = np.unique(h[anchor_runs(h, place)], return_counts=True)
+                        ids.append(i)
+                        hashes.append(content_hash(words.line))
+                        lists.append(found)
+                        times.append(n)
+                if ids:
                     offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(offsets, np.concatenate(lists))], names=[key, "anchors"])
+                    columns = [pa.array(ids, pa.int64()), *(pa.array([x[k] for x in hashes], pa.int64()) for k in (0, 1)), pa.ListArray.from_arrays(offsets, np.concatenate(lists)), pa.ListArray.from_arrays(offsets, np.concatenate(times).astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "content", "high", "anchors", "times"])
 
     return run
 
@@ -105,7 +114,7 @@ def suffix_rows(words: Words, wanted: dict[int, bool], min_words: int):
     h, place = anchors(words, min_words)
     if not len(h):
         return
-    starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    starts = anchor_runs(h, place)
     ends = np.r_[starts[1:], len(h)]
     line, first, last = words.line, words.starts, words.ends
     whole = None
@@ -138,7 +147,7 @@ def _suffixes(min_words: int, combine: bool):
                     if not wanted:
                         continue
                     words = Words(text)
-                    content = content_hash(words.line)
+                    content = content_hash(words.line)[0]
                     if copies and content in copies:
                         continue
                     for route, at, _, suffix in suffix_rows(words, wanted, min_words):
@@ -165,34 +174,57 @@ def _combined(found: dict) -> pa.RecordBatch:
     )
 
 
-def subtree_nodes(suffixes: list[bytes], owners: list[int], min_words: int) -> list[list[int]]:
-    """Of each suffix row and each window in it: the smallest owner below the window's node.
+class Subtree:
+    """The suffix tree of some rows of words: their sorted suffixes and the lengths of common prefixes.
 
-    The suffixes of all windows are sorted; neighbours that share their first
-    ``min_words`` words hang below one internal node of that depth.
+    Only suffixes of ``min_words`` words or more are in it. An internal node is a run of
+    suffixes with a common prefix of its depth.
     """
-    starts, row = [], []
-    for r, suffix in enumerate(suffixes):
-        ends = [i for i, b in enumerate(suffix) if b == 32]
-        begins = [0, *(e + 1 for e in ends)]
-        ends.append(len(suffix))
-        for w in range(len(ends) - min_words + 1):
-            starts.append(suffix[begins[w] : ends[w + min_words - 1]])
-            row.append(r)
-    order = sorted(range(len(starts)), key=starts.__getitem__)
-    least = np.empty(len(starts), np.int64)
-    at = 0
-    while at < len(order):
-        to, head = at + 1, starts[order[at]]
-        while to < len(order) and starts[order[to]] == head:
-            to += 1
-        below = order[at:to]
-        least[below] = min(owners[row[s]] for s in below)
-        at = to
-    out: list[list[int]] = [[] for _ in suffixes]
-    for r, m in zip(row, least.tolist()):
-        out[r].append(m)
-    return out
+
+    def __init__(self, rows: list[bytes], min_words: int):
+        self.min_words, names = min_words, {}
+        word = np.array([names.setdefault(w, len(names)) for w in b" ".join(rows).split(b" ")], np.int64)
+        sizes = np.array([r.count(b" ") + 1 for r in rows], np.int64)
+        ends = np.cumsum(sizes)
+        left = np.repeat(ends, sizes) - np.arange(len(word))
+        self.starts = np.flatnonzero(left >= min_words)
+        self.row = np.repeat(np.arange(len(rows)), sizes)[self.starts]
+        self.windows = np.maximum(0, sizes - min_words + 1)  # suffixes of each row
+        left = left[self.starts]
+        # several words a sort key; 0: the row has ended
+        bits = len(names).bit_length()
+        each, deepest = 63 // bits, int(left.max(initial=0))
+        keys, long = [], np.append(word + 1, np.zeros(deepest + each, np.int64))
+        for at in range(0, deepest, each):
+            key = np.zeros(len(self.starts), np.int64)
+            for j in range(at, at + each):
+                key = (key << bits) | np.where(j < left, long[self.starts + j], 0)
+            keys.append(key)
+        self.order = np.lexsort(keys[::-1]) if keys else np.zeros(0, np.int64)
+        #: words that each sorted suffix shares with the one before it
+        self.common = np.zeros(len(self.order), np.int64)
+        same = np.ones(max(0, len(self.order) - 1), bool)
+        for key in keys:
+            key = key[self.order]
+            for shift in range(bits * (each - 1), -1, -bits):
+                part = (key >> shift) & ((1 << bits) - 1)
+                same &= (part[1:] == part[:-1]) & (part[1:] > 0)
+                self.common[1:] += same
+
+    def deep_nodes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, end, depth) of the topmost nodes of a depth of ``min_words`` or more; a leaf alone has its own."""
+        first = np.flatnonzero(self.common < self.min_words)
+        end = np.append(first[1:], len(self.order))
+        inner = np.where(np.arange(len(self.common)) == np.repeat(first, end - first), np.iinfo(np.int64).max, self.common)
+        return first, end, np.minimum.reduceat(inner, first) if len(first) else first
+
+    def least(self, owners: np.ndarray) -> np.ndarray:
+        """Of each suffix, by its place in the rows: the smallest owner below its deep node."""
+        first, end, _ = self.deep_nodes()
+        out = np.empty(len(self.order), np.int64)
+        if len(first):
+            out[self.order] = np.repeat(np.minimum.reduceat(owners[self.row[self.order]], first), end - first)
+        return out
 
 
 def _subtrees(min_words: int):
@@ -200,10 +232,10 @@ def _subtrees(min_words: int):
 
     def answer(rows: dict[tuple[int, bytes], int]):
         keys = list(rows)
-        nodes = subtree_nodes([s for _, s in keys], list(rows.values()), min_words)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r for r, _ in keys], pa.int64()), pa.array([suffix_key(r, s) for r, s in keys], pa.int64()), pa.array(nodes, pa.list_(pa.int64()))], names=["route", "key", "nodes"]
-        )
+        tree = Subtree([s for _, s in keys], min_words)
+        least = tree.least(np.fromiter(rows.values(), np.int64, len(rows)))
+        nodes = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(tree.windows)]).astype(np.int32), least)
+        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in keys], pa.int64()), pa.array([suffix_key(r, s) for r, s in keys], pa.int64()), nodes], names=["route", "key", "nodes"])
 
     def run(batches):
         rows: dict[tuple[int, bytes], int] = {}
@@ -235,7 +267,7 @@ def _cleaned(min_words: int):
                         for name, x in (("n_words", n), ("n_removed", 0), ("kept_sha256", hashlib.sha256(line).hexdigest()), ("kept", text), ("spans", [])):
                             out[name].append(x)
                         continue
-                    content = content_hash(line)
+                    content = content_hash(line)[0]
                     cover = np.zeros(n + 1, np.int64)
                     if copies and content in copies and n >= min_words:
                         cover[0], cover[n] = 1, -1
@@ -264,15 +296,16 @@ def dedup(docs: DataFrame, min_words: int = 13, carry: list[str] | None = None,
     """doc_id, n_words, n_removed, kept_sha256, kept (the text; as it was if nothing goes), spans (words that go) [, carry]."""
     texts = docs.where("doc_id is not null").select("doc_id", "text", *([F.struct(*carry).alias("carry")] if carry else []))
     plain = texts.select("doc_id", "text")
-    contents = staged(plain.mapInArrow(_contents, "doc_id long, content long, n_words long").where(F.col("n_words") >= min_words).select("doc_id", "content"), "contents")
-    firsts = contents.groupBy("content").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = contents.join(firsts, "content").where("doc_id > first").select("doc_id", F.col("content").alias("copy")).distinct()
+    read = staged(plain.mapInArrow(_read(min_words), "doc_id long, content long, high long, anchors array<long>, times array<long>"), "anchors")
+    contents = read.select("doc_id", "content", "high")
+    firsts = contents.groupBy("content", "high").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = contents.join(firsts, ["content", "high"]).where("doc_id > first").select("doc_id", F.col("content").alias("copy")).distinct()
 
-    used = plain.mapInArrow(_anchor_lists(min_words, "content"), "content long, anchors array<long>").select("content", F.explode("anchors").alias("anchor"))
-    shared = used.groupBy("anchor").agg(F.min("content").alias("a"), F.max("content").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b")
+    used = read.select("content", F.explode(F.arrays_zip("anchors", "times")).alias("x")).select("content", F.col("x.anchors").alias("anchor"), F.col("x.times").alias("times"))
+    shared = used.groupBy("anchor").agg(F.min("content").alias("a"), F.max("content").alias("b"), F.sum("times").alias("n")).where("a <> b")
     shared = staged(shared.select("anchor", (F.col("n") > hot).alias("hot")), "shared")
 
-    has = plain.mapInArrow(_anchor_lists(min_words, "doc_id"), "doc_id long, anchors array<long>").select("doc_id", F.explode("anchors").alias("anchor"))
+    has = read.select("doc_id", F.explode("anchors").alias("anchor"))
     none = F.lit(None).cast("long")
     noted = has.join(shared, "anchor").select("doc_id", F.when(~F.col("hot"), F.col("anchor")).alias("cold"), F.when(F.col("hot"), F.col("anchor")).alias("hot"), none.alias("copy"))
     noted = noted.unionByName(copies.select("doc_id", none.alias("cold"), none.alias("hot"), "copy"))

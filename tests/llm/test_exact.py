@@ -64,6 +64,36 @@ def test_substring_of_few_words(spark, hot):
     assert got == windows_removed(texts)
 
 
+def test_subtree_nodes():
+    """Sorted suffixes, common prefixes and deep nodes against brute force."""
+    r = random.Random(9)
+    rows = [" ".join(r.choices("ab", k=r.randint(1, 12))).encode() for _ in range(300)]
+    owners = np.array([r.randrange(1000) for _ in rows])
+    tree = substring.Subtree(rows, 4)
+    suffixes = [(i, tuple(row.split()[at:])) for i, row in enumerate(rows) for at in range(len(row.split()) - 3)]
+    least = {}
+    for i, suffix in suffixes:
+        least[suffix[:4]] = min(int(owners[i]), least.get(suffix[:4], 1000))
+    assert tree.least(owners).tolist() == [least[suffix[:4]] for _, suffix in suffixes]
+    ordered = [suffixes[i][1] for i in tree.order.tolist()]
+    for n, (a, b) in enumerate(zip(ordered, ordered[1:]), 1):
+        assert tree.common[n] == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    for first, end, depth in zip(*(x.tolist() for x in tree.deep_nodes())):
+        if end - first > 1:
+            group = ordered[first:end]
+            assert depth >= 4 and len({g[:depth] for g in group}) == 1 and len({g[: depth + 1] for g in group}) > 1 or len(set(group)) == 1
+
+
+def test_long_text_with_one_anchor(spark):
+    """One text in which a run of words comes back far more often than a group holds, and a part of it in another text."""
+    long = " ".join(f"a b c d e {i}" for i in range(30_000))
+    part = " ".join(f"a b c d e {i}" for i in range(100, 130))
+    docs = spark.createDataFrame([(5, part), (9, long), (2, "x " * 12 + "y")], "doc_id long, text string")
+    for hot in (substring.HOT_ANCHOR, 1 << 30):
+        got = {r.doc_id: r.n_removed for r in substring.dedup(docs, hot=hot).collect()}
+        assert got == {5: 0, 9: 180, 2: 0}
+
+
 def test_warc(spark, sf):
     pages = dict(read(sf, "pages", ["page_id", "html"]))
     last = {}
