@@ -8,10 +8,11 @@ log2(2 + a / c): a toxic and c other examples have it (each counts for the rows
 stands for). Vectors have unit length.
 
 The inverted index holds a posting list for each term, cut into blocks of examples
-that are next to each other; each block of a list has its largest weight. A text's
-bound for a block is the sum of its terms' largest weights there. Blocks of high
-bounds are visited first, then all others whose bound reaches the k-th best
-cosine; the rest cannot hold a nearer example. Neighbours vote by closeness, and
+that are next to each other; each block of a list has its largest weight. The few
+lists that name an eighth of the examples or more have a place for each example, and
+are added up first. A text's bound for a block is the largest sum there and the
+largest weights of its other terms. Blocks of high bounds are visited first, then all
+others whose bound reaches the k-th best cosine; the rest cannot hold a nearer example. Neighbours vote by closeness, and
 they are returned as evidence. The calibration (isotonic) is cross-fitted: each
 fold of the examples is scored with weights and an index made from the others.
 
@@ -34,12 +35,12 @@ from pyspark.sql import functions as F
 from loomstead.llm.common import as_bytes, parts_of, slices
 
 #: Labelled rows that the index is fitted on, at most: toxic ones, others, and the bytes of such a row.
-MOST_TOXIC, MOST_OTHERS, LONGEST = 1200, 2800, 1 << 16
+MOST_TOXIC, MOST_OTHERS, LONGEST = 1000, 2000, 1 << 16
 NEIGHBOURS, BLOCK, FOLDS = 15, 64, 3
-#: Letters of a word start.
-START = 4
+#: Letters of a word start; the share of examples from which a list has a place for each.
+START, FULL_SHARE = 4, 8
 #: Postings that are gathered at once, and tasks that count document frequencies at most.
-GATHERED, COUNTERS = 1 << 20, 4096
+GATHERED, COUNTERS = 1 << 18, 4096
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -103,16 +104,11 @@ class Reader:
 
     def _keys(self, texts: list[bytes], owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         doc, word, words = split(texts)
-        used, ids = np.zeros(len(words), bool), self.ids
-        used[word] = True
-        known = np.full((len(words), 2), -1, np.int64)
-        for w in np.flatnonzero(used).tolist():
-            for k, term in enumerate(word_terms(words[w])):
-                known[w, k] = ids.get(term, -1)
-        keys = []
+        get, keys, first = self.ids.get, [], owners[doc] * self.size
+        terms = [(w, w[:START] + b"-" if len(w) > START else b"") if w.isascii() else (*word_terms(w), b"")[:2] for w in words]
         for k in (0, 1):
-            term = known[word, k]
-            keys.append((owners[doc] * self.size + term)[term >= 0])
+            term = np.array([get(t[k], -1) for t in terms], np.int64)[word] if terms else np.zeros(0, np.int64)
+            keys.append((first + term)[term >= 0])
         return np.unique(np.concatenate(keys), return_counts=True)
 
     def counts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,20 +167,27 @@ class Index:
         unit = float(weight[toxic == 0].min()) if (toxic == 0).any() else 1.0
         self.importance = idf * np.log2(2 + have[1] / np.maximum(unit, have[0]))
         self.k, self.block, self.n = k, block, len(ids)
-        # examples of one kind and of one most frequent term are neighbours: their blocks have low bounds for other texts
+        # examples of one kind, one most frequent term and about one length are neighbours: their blocks have low bounds for other texts
         w = self._weights(example, term, count, len(ids))
         common = np.zeros(len(ids), np.int64)
         order = np.lexsort((term, count, example))
         common[example[order]] = term[order]  # the last of each example stays
-        placed = np.lexsort((ids, common, toxic))
+        placed = np.lexsort((ids, np.bincount(example, count, len(ids)), common, toxic))
         place = np.empty(len(ids), np.int64)
         place[placed] = np.arange(len(ids))
         self.ids, self.toxic, self.weight = ids[placed], toxic[placed].astype(np.float64), weight[placed]
-        # posting lists by term, each by place; entries are the blocks of the lists
-        keep = w > 0
-        order = np.lexsort((place[example[keep]], term[keep]))
-        term, self.place, self.post = term[keep][order], place[example[keep]][order].astype(np.int32), w[keep][order]
         self.blocks = -(-len(ids) // block)
+        keep = w > 0
+        term, spot, w = term[keep], place[example[keep]], w[keep]
+        # lists with a place for each example
+        full = np.bincount(term, minlength=size) >= max(block, len(ids) // FULL_SHARE)
+        self.full = np.where(full, np.cumsum(full) - 1, -1)
+        self.lists = np.zeros((int(full.sum()), self.blocks * block))
+        dense = full[term]
+        self.lists[self.full[term[dense]], spot[dense]] = w[dense]
+        # the others by term, each by place; entries are the blocks of the lists
+        order = np.lexsort((spot[~dense], term[~dense]))
+        term, self.place, self.post = term[~dense][order], spot[~dense][order].astype(np.int32), w[~dense][order]
         entry = term * max(1, self.blocks) + self.place // block
         first = np.flatnonzero(np.r_[True, entry[1:] != entry[:-1]]) if len(entry) else np.zeros(0, np.int64)
         self.entry_start = np.append(first, len(entry))
@@ -208,7 +211,7 @@ class Index:
             return places, cosines
         q = self._weights(text, term, count, n)
         # as many texts at once as have GATHERED postings
-        load = np.cumsum(np.bincount(text, self.list_posts[term] + 1, n))
+        load = np.cumsum(np.bincount(text, self.list_posts[term] + 1, n) + self.blocks * self.block)
         edge = np.searchsorted(text, np.arange(n + 1))
         a = 0
         while a < n:
@@ -219,34 +222,39 @@ class Index:
         return places, cosines
 
     def _nearest(self, text, term, q, n: int):
+        width, k = self.blocks * self.block, min(self.k, self.n)
+        full = self.full[term]
+        dense = full >= 0
+        rows = np.zeros((n, len(self.lists)))
+        rows[text[dense], full[dense]] = q[dense]
+        scores = rows @ self.lists
+        text, term, q = text[~dense], term[~dense], q[~dense]
         sizes = self.list_start[term + 1] - self.list_start[term]
         entries = _ranges(self.list_start[term], sizes)
         owner, weight = np.repeat(text, sizes), np.repeat(q, sizes)
         cell = owner * self.blocks + self.entry_block[entries]
-        bound = np.bincount(cell, weight * self.entry_most[entries], n * self.blocks).reshape(n, self.blocks)
-        scores = np.zeros((n, self.n))
-        k = min(self.k, self.n)
-        visited = np.zeros((n, self.blocks), bool)
-        for first in (2, 8, self.blocks):
-            kth = np.partition(scores, self.n - k, axis=1)[:, self.n - k] if visited.any() else np.zeros(n)
+        bound = scores.reshape(n, self.blocks, self.block).max(axis=2) + np.bincount(cell, weight * self.entry_most[entries], n * self.blocks).reshape(n, self.blocks)
+        visited, kth = np.zeros((n, self.blocks), bool), np.zeros(n)
+        for first in (2, 6, self.blocks):
             open_ = ~visited & (bound > 0) & (bound >= kth[:, None] - 1e-12)
+            now = open_
             if first < self.blocks:
-                ranked = np.argsort(np.where(open_, -bound, 1.0), axis=1, kind="stable")[:, :first]
+                ranked = np.argpartition(np.where(open_, -bound, 1.0), first - 1, axis=1)[:, :first]
                 now = np.zeros_like(visited)
                 np.put_along_axis(now, ranked, True, axis=1)
                 now &= open_
-            else:
-                now = open_
             if not now.any():
                 break
             hit = np.flatnonzero(now.ravel()[cell])
             starts = self.entry_start[entries[hit]]
             sizes = self.entry_start[entries[hit] + 1] - starts
             at = _ranges(starts, sizes)
-            scores += np.bincount(np.repeat(owner[hit] * self.n, sizes) + self.place[at], np.repeat(weight[hit], sizes) * self.post[at], n * self.n).reshape(n, self.n)
+            scores += np.bincount(np.repeat(owner[hit] * width, sizes) + self.place[at], np.repeat(weight[hit], sizes) * self.post[at], n * width).reshape(n, width)
             visited |= now
-        rounded = np.round(scores, 12)
-        kth = np.partition(rounded, self.n - k, axis=1)[:, self.n - k]
+            seen = np.where(np.repeat(visited, self.block, axis=1), scores, 0.0)
+            kth = np.partition(seen, width - k, axis=1)[:, width - k]
+        rounded = np.round(seen, 12) if visited.any() else np.zeros((n, width))
+        kth = np.partition(rounded, width - k, axis=1)[:, width - k]
         places, cosines = np.full((n, self.k), -1, np.int64), np.zeros((n, self.k))
         row, place = np.nonzero((rounded >= kth[:, None]) & (rounded > 0))
         order = np.lexsort((place, -rounded[row, place], row))
