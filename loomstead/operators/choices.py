@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstead.functions.text import clean_choice_text, first_upper
@@ -65,6 +65,14 @@ def weighted_loss(rows: DataFrame) -> DataFrame:
     return rows.agg((F.sum(F.col("loss") * F.col("n")) / F.greatest(F.lit(1.0), F.sum("n"))).alias("val_loss"), F.count(F.lit(1)).alias("n_batches"))
 
 
+def first_batches(rows: DataFrame, n: int, keys: list[str]) -> DataFrame:
+    """The first n rows in order; where there are fewer, the order starts again until n are there."""
+    head = rows.orderBy(*keys).limit(n)
+    place = head.withColumn("_k", F.row_number().over(Window.orderBy(*keys)) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))  # n rows
+    times = F.expr(f"({n} - _k - 1) div _n + 1")
+    return place.withColumn("_t", F.explode(F.sequence(F.lit(1).cast("long"), times))).drop("_k", "_n", "_t")
+
+
 def longest_input(model_max: int | None, tokenizer_max: int | None, default: int = 2048) -> int:
     """The shorter of two limits; a tokenizer's placeholder of a million or more is none."""
     known = [n for n in (model_max, tokenizer_max if tokenizer_max and tokenizer_max < 1_000_000 else None) if n]

@@ -17,7 +17,10 @@ def union_files(frames: list[DataFrame]) -> DataFrame:
     for k, f in enumerate(frames):
         f = f.withColumn("file", F.lit(k))
         out = f if out is None else out.unionByName(f, allowMissingColumns=True)
-    return out.withColumn("row_index", F.row_number().over(Window.orderBy("file", "line")) - 1).drop("file", "line")
+    totals = out.groupBy("file").agg(F.count(F.lit(1)).alias("n"))  # a row a file
+    before = totals.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
+    inner = F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1
+    return out.withColumn("at", inner).join(before, "file").withColumn("row_index", (F.col("at") + F.col("before")).cast("long")).drop("file", "line", "at", "before")
 
 
 def conditional_logps(logps, context_tokens):
