@@ -11,23 +11,45 @@ def check_shape(batch: int, seq_len: int, stride: int | None = None) -> None:
         raise ValueError("batch, sequence length and stride must be positive")
 
 
+def require_blocks(shards: DataFrame) -> DataFrame:
+    """The same shards; running it fails if none of them holds a block."""
+    most = shards.agg(F.coalesce(F.max("n_blocks"), F.lit(0)).alias("_most"))  # one row
+    checked = shards.crossJoin(F.broadcast(most)).withColumn("n_blocks", F.when(F.col("_most") > 0, F.col("n_blocks")).otherwise(F.raise_error(F.lit("no shard holds a block")).cast("long")))
+    return checked.drop("_most")
+
+
 def spans(shards: DataFrame, block_tokens: int, stride: int | None = None) -> DataFrame:
     """split, shard_idx, block_idx, start, end of every block; end is one past its last target."""
-    step = stride or block_tokens
+    step = block_tokens if stride is None else stride
+    check_shape(1, block_tokens, step)
     rows = shards.where("n_blocks > 0").select("split", "shard_idx", F.explode(F.expr("sequence(0L, n_blocks - 1)")).alias("block_idx"))
     return rows.withColumn("start", F.col("block_idx") * step).withColumn("end", F.col("start") + block_tokens + 1)
 
 
-def target_places(tokens: DataFrame, shards: DataFrame, batch: int, seq_len: int) -> DataFrame:
-    """Each covered target token with its input token and its block, row and column: arithmetic on its index."""
+def whole_blocks(n: str, block_tokens: int) -> str:
+    """SQL for the blocks (block_tokens inputs and one more target) of a shard of n tokens."""
+    return f"if({n} > {block_tokens}, ({n} - 1) div {block_tokens}, 0L)"
+
+
+def target_pairs(placed: DataFrame, shard_tokens: int, val_shards: int, batch: int, seq_len: int) -> DataFrame:
+    """Each covered target token y with its input token x and its shard, block, row and column.
+
+    placed: doc_id, ids, n_tokens, start. A document's tokens are paired inside its array; the token
+    before a document comes from the one that ends there. Places are arithmetic on the total alone.
+    """
+    check_shape(batch, seq_len)
     bt = batch * seq_len
-    order = Window.partitionBy("shard_idx").orderBy("token_index")
-    paired = tokens.withColumn("x", F.lag("token_id").over(order)).withColumnRenamed("token_id", "y")
-    p = F.col("token_index") - 1
-    covered = paired.join(shards.select("shard_idx", "n_blocks"), "shard_idx").where((F.col("token_index") >= 1) & (F.col("token_index") <= F.col("n_blocks") * bt))
-    return covered.select(
-        "split", "shard_idx", "token_index", "x", "y",
-        F.floor(p / bt).alias("block_idx"), F.floor((p % bt) / seq_len).alias("row_idx"), (p % seq_len).alias("col_idx"),
+    total = placed.agg(F.max(F.col("start") + F.col("n_tokens")).alias("total"))  # one row
+    ends = placed.where("n_tokens > 0").select((F.col("start") + F.col("n_tokens")).alias("start"), F.element_at("ids", -1).alias("before"))
+    inputs = F.concat(F.array("before"), F.slice("ids", 1, F.greatest(F.size("ids") - 1, F.lit(0))))
+    rows = placed.join(ends, "start", "left").select("start", F.posexplode(F.arrays_zip(inputs.alias("x"), F.col("ids").alias("y"))).alias("at", "t"))
+    rows = rows.crossJoin(F.broadcast(total)).select(F.expr(f"(start + at) div {shard_tokens}").alias("shard_idx"), F.expr(f"(start + at) % {shard_tokens}").alias("token_index"), "t.x", "t.y", "total")
+    covered = whole_blocks(f"least({shard_tokens}L, total - shard_idx * {shard_tokens})", bt)
+    rows = rows.where(F.expr(f"token_index between 1 and {covered} * {bt}"))
+    split = F.when(F.col("shard_idx") < val_shards, "val").otherwise("train").alias("split")
+    return rows.select(
+        split, "shard_idx", "token_index", "x", "y",
+        F.expr(f"(token_index - 1) div {bt}").alias("block_idx"), F.expr(f"((token_index - 1) % {bt}) div {seq_len}").alias("row_idx"), F.expr(f"(token_index - 1) % {seq_len}").alias("col_idx"),
     )
 
 
@@ -84,19 +106,38 @@ def pending(shards: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return shards.join(done.select(key).distinct(), key, "left_anti")
 
 
+def validation(blocks: DataFrame, world: int, most: int) -> DataFrame:
+    """The first blocks of the validation split in order, the same for every rank."""
+    first = blocks.where("split = 'val'").orderBy("shard_idx", "block_idx").limit(most)
+    return first.withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(world - 1))))
+
+
+def first_shards(shards: DataFrame, most: int) -> DataFrame:
+    """A cap for trial runs: the first shards in order."""
+    return shards.orderBy("shard_idx").limit(most)
+
+
 def longest_first(shards: DataFrame, world: int) -> DataFrame:
     """Greedy assignment: shards by falling blocks, each to the least loaded rank (the lowest of equals).
 
-    One row a shard: the fold over shards runs in one row of arrays, in the cluster.
+    The rule is sequential: one task reads one row a shard in order and holds the ranks' loads alone.
     """
-    listed = shards.agg(F.array_sort(F.collect_list(F.struct((-F.col("n_blocks")).alias("minus"), "shard_idx"))).alias("all"))
-    start = f"named_struct('loads', array_repeat(0L, {world}), 'out', cast(array() as array<struct<shard_idx:bigint,rank:int,n_blocks:bigint>>))"
-    pick = "cast(array_position(acc.loads, array_min(acc.loads)) - 1 as int)"
-    step = (
-        f"named_struct('loads', transform(acc.loads, (l, i) -> if(i = {pick}, l - x.minus, l)),"
-        f" 'out', concat(acc.out, array(named_struct('shard_idx', x.shard_idx, 'rank', {pick}, 'n_blocks', -x.minus))))"
-    )
-    return listed.select(F.expr(f"explode(aggregate(all, {start}, (acc, x) -> {step}, acc -> acc.out))").alias("r")).select("r.*")
+    import pyarrow as pa
+
+    def run(batches):
+        import heapq
+
+        loads = [(0, rank) for rank in range(world)]
+        for batch in batches:
+            ranks = []
+            for n in batch.column(1).to_pylist():
+                load, rank = loads[0]
+                heapq.heapreplace(loads, (load + n, rank))
+                ranks.append(rank)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ranks, pa.int32()), batch.column(1)], names=["shard_idx", "rank", "n_blocks"])
+
+    ordered = shards.select("shard_idx", F.col("n_blocks").cast("long")).repartition(1).sortWithinPartitions(F.col("n_blocks").desc(), "shard_idx")
+    return ordered.mapInArrow(run, "shard_idx long, rank int, n_blocks long")
 
 
 def batch_math(total: int, world: int, batch: int, seq_len: int) -> dict[str, int]:

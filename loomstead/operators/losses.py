@@ -5,32 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstead.functions.columns import finite
 from loomstead.functions.text import BOS
+from loomstead.operators.blocks import whole_blocks
 
-#: Percentiles that a loss summary has.
+# The percentiles that a loss summary has.
 PERCENTILES = [0.1, 1, 5, 10, 25, 50, 75, 90, 95, 99, 99.9]
 
 
-def ngram_losses(targets: DataFrame, tokens: DataFrame, vocabulary: int = BOS + 1) -> DataFrame:
+def ngram_losses(targets: DataFrame, documents: DataFrame, vocabulary: int = BOS + 1) -> DataFrame:
     """Adds ref_loss (add-one unigram) and student_loss (add-one bigram) to (x, y) pairs.
 
-    Counts are over all tokens; they are aggregated before they are joined.
+    Counts are over all tokens of documents (ids); they are aggregated before they are joined.
+    The unigram counts have a row a vocabulary entry at most and are broadcast.
     """
-    single = tokens.groupBy("token_id").agg(F.count(F.lit(1)).alias("n"))
-    total = tokens.agg(F.count(F.lit(1)).alias("total"))  # one row
+    single = documents.select(F.explode("ids").alias("token_id")).groupBy("token_id").agg(F.count(F.lit(1)).alias("n"))
+    total = documents.agg(F.sum(F.size("ids").cast("long")).alias("total"))  # one row
     pair = targets.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n_xy"))
-    rows = targets.join(single.select(F.col("token_id").alias("y"), F.col("n").alias("n_y")), "y").join(single.select(F.col("token_id").alias("x"), F.col("n").alias("n_x")), "x")
-    rows = rows.join(pair, ["x", "y"]).crossJoin(F.broadcast(total))
+    single_y, single_x = (F.broadcast(single.select(F.col("token_id").alias(c), F.col("n").alias(f"n_{c}"))) for c in "yx")
+    rows = targets.join(pair, ["x", "y"]).join(single_y, "y").join(single_x, "x").crossJoin(F.broadcast(total))
     ref = -F.log((F.col("n_y") + 1).cast("double") / (F.col("total") + vocabulary))
     student = -F.log((F.col("n_xy") + 1).cast("double") / (F.col("n_x") + vocabulary))
     return rows.withColumn("ref_loss", F.round(ref, 9)).withColumn("student_loss", F.round(student, 9)).drop("n_x", "n_y", "n_xy", "total")
 
 
-def finite(column: Column) -> Column:
-    """Neither null nor NaN nor infinite."""
-    return column.isNotNull() & ~F.isnan(column) & (F.abs(column) < F.lit(float("inf")))
-
-
 def aligned(tokens: DataFrame, scored: DataFrame) -> DataFrame:
     """Every token with its loss, null where no block has it as a target."""
     return tokens.select("split", "shard_idx", "token_index", "token_id").join(scored.select("shard_idx", "token_index", "ref_loss"), ["shard_idx", "token_index"], "left")
@@ -60,12 +58,16 @@ def run_summary(shards: DataFrame, done: DataFrame) -> DataFrame:
     return joined.groupBy("split").agg(F.count(F.lit(1)).alias("total"), finished.alias("skipped"), (F.count(F.lit(1)) - finished).alias("pending"))
 
 
-def percentiles(scored: DataFrame, approximate: bool = False) -> DataFrame:
-    """name, value: linear-interpolated percentiles; ``approximate`` bounds memory on very many rows."""
-    shares = [p / 100 for p in PERCENTILES]
-    found = F.percentile_approx("ref_loss", shares, 10_000) if approximate else F.percentile("ref_loss", F.array(*map(F.lit, shares)))
-    names = F.array(*(F.lit(f"p{p}") for p in PERCENTILES))
-    return scored.where(finite(F.col("ref_loss"))).agg(found.alias("v")).select(F.explode(F.arrays_zip(names.alias("name"), F.col("v").alias("value"))).alias("z")).select("z.name", "z.value")
+def percentiles(scored: DataFrame) -> DataFrame:
+    """name, value: linear-interpolated percentiles, exactly: each is read off the ranks of the distinct losses beside it."""
+    place = lambda p: (F.col("total") - 1) * F.lit(p / 100)
+    asked = F.array(*(F.struct(F.lit(f"p{p}").alias("name"), place(p).alias("h")) for p in PERCENTILES))
+    inside = lambda k: (k >= F.col("last_rank") - F.col("n")) & (k < F.col("last_rank"))
+    near = F.filter(asked, lambda a: inside(F.floor(a["h"])) | inside(F.ceil(a["h"])))
+    rows = _ranked(scored).select("ref_loss", "n", "last_rank", F.explode(near).alias("a"))
+    low, high = (F.max(F.when(inside(f(F.col("a.h"))), F.col("ref_loss"))) for f in (F.floor, F.ceil))
+    found = rows.groupBy("a.name").agg(low.alias("low"), high.alias("high"), F.max("a.h").alias("h"))
+    return found.select("name", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("h") - F.floor("h"))).alias("value"))
 
 
 def mean_std(scored: DataFrame) -> DataFrame:
@@ -113,24 +115,36 @@ def histogram(scored: DataFrame, bins: int = 200) -> DataFrame:
     return x.crossJoin(F.broadcast(ends)).groupBy(place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def distribution(scored: DataFrame) -> DataFrame:
-    """ref_loss, last_rank, share: the empirical distribution at each distinct loss.
-
-    Equal losses have ranks of their own, of which the last is kept. Counts are
-    aggregated first; the running sum is over distinct losses.
-    """
+def _ranked(scored: DataFrame) -> DataFrame:
+    """ref_loss, n, last_rank, total of each distinct loss: counts first, running sums in parts, then over the parts' totals."""
     each = scored.where(finite(F.col("ref_loss"))).groupBy("ref_loss").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.floor(F.col("ref_loss") * 8))
     parts = each.groupBy("part").agg(F.sum("n").alias("in_part"))
     above = parts.withColumn("before", F.sum("in_part").over(Window.orderBy("part")) - F.col("in_part")).withColumn("total", F.sum("in_part").over(Window.partitionBy()))
     rank = F.sum("n").over(Window.partitionBy("part").orderBy("ref_loss")) + F.col("before")
-    return each.join(above.select("part", "before", "total"), "part").select("ref_loss", rank.alias("last_rank"), (rank / F.col("total")).alias("share"))
+    return each.join(above.select("part", "before", "total"), "part").select("ref_loss", "n", rank.alias("last_rank"), "total")
 
 
-def sampled(scored: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """About n finite losses, drawn with replacement."""
-    x = scored.where(finite(F.col("ref_loss"))).select("ref_loss")
-    total = max(1, x.count())
-    return x.sample(withReplacement=True, fraction=(n * 1.05 + 64) / total, seed=seed).limit(n)
+def distribution(scored: DataFrame) -> DataFrame:
+    """ref_loss, last_rank, share: the empirical distribution at each distinct loss.
+
+    Equal losses have ranks of their own, of which the last is kept.
+    """
+    return _ranked(scored).select("ref_loss", "last_rank", (F.col("last_rank") / F.col("total")).alias("share"))
+
+
+def drawn(placed: DataFrame, scored: DataFrame, n: int, shard_tokens: int, block_tokens: int, seed: int = 0) -> DataFrame:
+    """draw, ref_loss of n places drawn with replacement among all covered places; those without a finite loss are left out.
+
+    A seeded hash of the draw's number is the place: no pass over the losses counts them first.
+    """
+    total = placed.agg(F.max(F.col("start") + F.col("n_tokens")).alias("total"))  # one row
+    covered = lambda tokens: f"{whole_blocks(tokens, block_tokens)} * {block_tokens}L"
+    sizes = total.select(F.expr(f"total div {shard_tokens}").alias("full"), F.expr(covered(f"{shard_tokens}L")).alias("each"), F.expr(covered(f"(total % {shard_tokens})")).alias("rest")).where("full * each + rest > 0")
+    draws = placed.sparkSession.range(n).select(F.col("id").alias("draw"), F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "id")), 1, 15), 16, 10).cast("long").alias("h"))
+    at = draws.crossJoin(F.broadcast(sizes)).withColumn("place", F.expr("h % (full * each + rest)"))
+    at = at.withColumn("shard_idx", F.expr("if(each > 0, least(place div greatest(each, 1L), full), full)"))
+    at = at.select("draw", "shard_idx", F.expr("place - shard_idx * each + 1").alias("token_index"))
+    return at.join(scored.select("shard_idx", "token_index", "ref_loss"), ["shard_idx", "token_index"]).where(finite(F.col("ref_loss"))).select("draw", "ref_loss")
 
 
 def sequence_length(asked: int | None, meta: dict) -> int:

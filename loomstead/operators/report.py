@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstead.functions.columns import finite
+
 # Accuracy of a word-vector baseline by domain.
 BASELINE = {
     "social-interactions": 0.69, "social-properties": 0.73, "material-dynamics": 0.62, "social-relations": 0.51, "quantitative-properties": 0.54, "physical-dynamics": 0.62,
@@ -12,10 +14,6 @@ BASELINE = {
 }
 
 
-def finite(x: Column) -> Column:
-    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-
-
 def has_evaluation(records: DataFrame, keys: list[str]) -> DataFrame:
     """Records with any of the evaluation columns."""
     there = F.lit(False)

@@ -8,6 +8,8 @@ follows the rule over all documents, more lanes follow it side by side.
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,20 +17,25 @@ PIECES = "lane long, row_id long, piece long, doc_id long, doc_len long, used lo
 
 
 def pack_lane(documents: list[tuple[int, int]], row_tokens: int, buffer_docs: int):
-    """(row, piece, doc_id, doc_len, used) of whole rows; documents are (doc_id, length) in order."""
-    source, buffer, row = iter(documents), [], 0
+    """(row, piece, doc_id, doc_len, used) of whole rows; documents are (doc_id, length) in order.
+
+    The buffer is kept sorted by length, among equals the latest first, so that both picks are a search.
+    """
+    source, buffer, row = iter(enumerate(documents)), [], 0
 
     def refill():
         while len(buffer) < buffer_docs and (nxt := next(source, None)) is not None:
-            buffer.append(nxt)
+            place, (doc_id, n) = nxt
+            insort(buffer, (n, -place, doc_id))
 
     refill()
     while buffer:
         pieces, left = [], row_tokens
         while left and buffer:
-            fits = [k for k, (_, n) in enumerate(buffer) if n <= left]
-            k = max(fits, key=lambda k: (buffer[k][1], -k)) if fits else min(range(len(buffer)), key=lambda k: (buffer[k][1], k))
-            doc_id, n = buffer.pop(k)
+            k = bisect_right(buffer, (left, 1)) - 1
+            if k < 0:
+                k = bisect_right(buffer, (buffer[0][0], 1)) - 1
+            n, _, doc_id = buffer.pop(k)
             refill()
             used = min(n, left)
             pieces.append((row, len(pieces), doc_id, n, used))
@@ -63,3 +70,27 @@ def crop_stats(pieces: DataFrame) -> DataFrame:
 def row_blocks(n_rows: int, batch: int) -> int:
     """Whole blocks of ``batch`` rows."""
     return n_rows // batch
+
+
+def shard_rows(seq_len: int, shard_tokens: int = 100_000_000, asked: int | None = None) -> int:
+    """Rows of a packed shard: those asked for, else as many as shard_tokens hold."""
+    rows = asked or shard_tokens // (seq_len + 1)
+    if rows <= 0:
+        raise ValueError("a shard must hold a row")
+    return rows
+
+
+def in_shards(pieces: DataFrame, rows: int) -> DataFrame:
+    """Adds shard_idx and row_in_shard to packed rows, by their numbers within a lane."""
+    return pieces.withColumn("shard_idx", F.expr(f"row_id div {rows}")).withColumn("row_in_shard", F.expr(f"row_id % {rows}"))
+
+
+def check_packed(n_tokens: int, seq_len: int, meta: dict) -> int:
+    """Rows of a packed shard of n_tokens; an error where the metadata or the size do not fit."""
+    if seq_len <= 0 or meta.get("seq_len", seq_len) != seq_len:
+        raise ValueError(f"sequence length {seq_len}, metadata {meta.get('seq_len')}")
+    if meta.get("row_tokens", seq_len + 1) != seq_len + 1:
+        raise ValueError(f"rows of {seq_len + 1} tokens, metadata {meta.get('row_tokens')}")
+    if n_tokens % (seq_len + 1):
+        raise ValueError(f"{n_tokens} tokens are no whole rows of {seq_len + 1}")
+    return n_tokens // (seq_len + 1)

@@ -16,18 +16,22 @@ def document_tokens(docs: DataFrame, bos: int = BOS) -> DataFrame:
     return docs.select("doc_id", F.concat(F.array(F.lit(bos)), word_ids(F.col("text"))).alias("ids"))
 
 
+def _encoding(ranks_path: str, pattern: str):
+    import base64
+
+    import tiktoken
+
+    with open(ranks_path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def bpe_tokens(docs: DataFrame, ranks_path: str, pattern: str, bos: int = BOS) -> DataFrame:
     """doc_id, ids by byte-pair ranks, in Arrow batches."""
     import pyarrow as pa
 
     def run(batches):
-        import base64
-
-        import tiktoken
-
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encode = _encoding(ranks_path, pattern).encode_ordinary
         for batch in batches:
             ids = [[bos, *encode(t or "")] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
@@ -38,16 +42,15 @@ def bpe_tokens(docs: DataFrame, ranks_path: str, pattern: str, bos: int = BOS) -
 def detokenized(tokens: DataFrame, ranks_path: str, pattern: str, bos: int = BOS) -> DataFrame:
     """Adds text: the bytes of ids, decoded in Arrow batches; the head mark has none."""
 
-    @F.pandas_udf("string")
-    def decode(column):
-        import base64
+    from collections.abc import Iterator
 
-        import tiktoken
+    import pandas as pd
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return column.map(lambda ids: enc.decode([i for i in ids if i != bos]))
+    @F.pandas_udf("string")
+    def decode(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoding = _encoding(ranks_path, pattern)
+        for column in columns:
+            yield pd.Series(encoding.decode_batch([[i for i in ids if i != bos] for ids in column], num_threads=1), dtype=object)
 
     return tokens.withColumn("text", decode("ids"))
 
@@ -102,3 +105,10 @@ def shard_lengths(placed: DataFrame, shard_tokens: int, val_shards: int, block_t
     n = F.least(F.lit(shard_tokens).cast("long"), F.col("total") - F.col("shard_idx") * shard_tokens)
     blocks = F.when(n >= block_tokens + 1, 1 + F.floor((n - (block_tokens + 1)) / block_tokens)).otherwise(0).cast("long")
     return rows.select(F.when(F.col("shard_idx") < val_shards, "val").otherwise("train").alias("split"), "shard_idx", n.alias("n_tokens"), blocks.alias("n_blocks"))
+
+
+def shard_summary(placed: DataFrame, shard_tokens: int, val_shards: int, block_tokens: int) -> DataFrame:
+    """shard_counts without a row a token: lengths from the total, heads from the documents' starts."""
+    heads = placed.where("n_tokens > 0").groupBy(F.expr(f"start div {shard_tokens}").alias("shard_idx")).agg(F.count(F.lit(1)).alias("n_heads"))
+    lengths = shard_lengths(placed, shard_tokens, val_shards, block_tokens)
+    return lengths.join(heads, "shard_idx", "left").select("split", "shard_idx", "n_tokens", F.coalesce("n_heads", F.lit(0).cast("long")).alias("n_heads"), "n_blocks")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstead.functions.text import BOS
-from loomstead.operators import blocks, losses, rows, selection, tokenize
+from loomstead.operators import blocks, losses, rows, scoring, selection, tokenize
 
 # Fixed values of the scaled-down layout.
 S, V, B, T = 10_000, 1, 4, 64
@@ -41,12 +41,17 @@ def shards(spark, sf_dir):
     return tokenize.shard_lengths(placed(spark, sf_dir).select("start", "n_tokens"), S, V, BT)
 
 
+def laid(spark, sf_dir):
+    """The tokenised corpus, kept (in memory, else on disk) for the several reads of a query that scores it."""
+    return placed(spark, sf_dir).persist()
+
+
 def targets(spark, sf_dir):
-    return blocks.target_places(tokens(spark, sf_dir), shards(spark, sf_dir), B, T)
+    return blocks.target_pairs(laid(spark, sf_dir), S, V, B, T)
 
 
 def scored(spark, sf_dir):
-    return losses.ngram_losses(targets(spark, sf_dir), tokens(spark, sf_dir))
+    return losses.ngram_losses(targets(spark, sf_dir), laid(spark, sf_dir))
 
 
 TOK = f"""
@@ -75,12 +80,12 @@ def tok_doc_stats(spark, sf_dir):
 
 @entry(f"WITH {TOK} SELECT * FROM shards")
 def tok_shard_counts(spark, sf_dir):
-    return tokenize.shard_counts(tokens(spark, sf_dir), BT)
+    return tokenize.shard_summary(placed(spark, sf_dir), S, V, BT)
 
 
 @entry(f"WITH {TOK} SELECT split, count(*) AS n_shards, CAST(sum(n_tokens) AS BIGINT) AS n_tokens, CAST(sum(n_heads) AS BIGINT) AS n_docs FROM shards GROUP BY split")
 def tok_split_counts(spark, sf_dir):
-    counts = tokenize.shard_counts(tokens(spark, sf_dir), BT)
+    counts = tokenize.shard_summary(placed(spark, sf_dir), S, V, BT)
     return counts.groupBy("split").agg(F.count(F.lit(1)).alias("n_shards"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_heads").alias("n_docs"))
 
 
@@ -101,7 +106,7 @@ def tok_bpe_shard_counts(spark, sf_dir):
     import public_tokenizers
 
     docs = tokenize.bpe_tokens(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
-    return tokenize.shard_counts(tokenize.sharded(tokenize.with_offsets(docs), 100_000, V), BT)
+    return tokenize.shard_summary(tokenize.with_offsets(docs), 100_000, V, BT)
 
 
 @entry(f"WITH {TOK} SELECT split, shard_idx, n_tokens, n_blocks FROM shards")
@@ -187,7 +192,7 @@ def batch_math(spark, sf_dir):
 
 @entry(f"WITH {SCORED} SELECT t.shard_idx, t.token_index, t.split, t.token_id, round(s.ref_loss, 6) AS ref_loss FROM tokens t LEFT JOIN scored s USING (shard_idx, token_index)")
 def ref_loss_table(spark, sf_dir):
-    return losses.aligned(tokens(spark, sf_dir), scored(spark, sf_dir)).withColumn("ref_loss", F.round("ref_loss", 6))
+    return losses.aligned(tokenize.sharded(laid(spark, sf_dir), S, V), scored(spark, sf_dir)).withColumn("ref_loss", F.round("ref_loss", 6))
 
 
 @entry(f"WITH {TOK} SELECT split, shard_idx, n_tokens, n_blocks, n_blocks * {BT} AS covered, n_tokens - n_blocks * {BT} AS unfilled, round(n_blocks * {BT} / greatest(1, n_tokens), 6) AS coverage_fraction FROM shards")
@@ -262,7 +267,7 @@ coalesce(string_agg(CAST(t.token_id AS VARCHAR), ' ' ORDER BY t.token_index) FIL
 FROM tail_ h JOIN tokens t ON t.shard_idx = h.shard_idx AND t.token_index BETWEEN h.token_index - 24 AND h.token_index + 24 GROUP BY 1, 2, 3""")
 def loss_tail_context(spark, sf_dir):
     high = losses.tail(scored(spark, sf_dir), 128, True).select("shard_idx", "token_index", F.col("y").alias("token_id"))
-    return losses.with_context(high, tokens(spark, sf_dir), 24)
+    return losses.with_context(high, tokenize.sharded(laid(spark, sf_dir), S, V), 24)
 
 
 @entry(f"WITH {SCORED}, e AS (SELECT min(ref_loss) AS lo, max(ref_loss) AS hi FROM scored) SELECT CAST(CASE WHEN hi > lo THEN least(200, floor((ref_loss - lo) / (hi - lo) * 200) + 1) ELSE 1 END AS INTEGER) AS bin, count(*) AS n FROM scored, e GROUP BY 1")
@@ -275,9 +280,21 @@ def loss_ecdf(spark, sf_dir):
     return losses.distribution(scored(spark, sf_dir)).select(F.round("ref_loss", 6).alias("ref_loss"), "last_rank", F.round("share", 9).alias("share"))
 
 
-@entry()
+@entry(f"""WITH {SCORED}, cov AS (SELECT shard_idx, n_blocks * {BT} AS c, sum(n_blocks * {BT}) OVER (ORDER BY shard_idx) - n_blocks * {BT} AS before FROM shards),
+draws AS (SELECT j AS draw, CAST('0x' || substr(md5('0|' || j), 1, 15) AS BIGINT) % (SELECT CAST(sum(c) AS BIGINT) FROM cov) AS place FROM (SELECT unnest(range(5000)) AS j))
+SELECT d.draw, round(s.ref_loss, 6) AS ref_loss FROM draws d JOIN cov v ON d.place >= v.before AND d.place < v.before + v.c JOIN scored s ON s.shard_idx = v.shard_idx AND s.token_index = d.place - v.before + 1""")
 def loss_sample(spark, sf_dir):
-    return losses.sampled(scored(spark, sf_dir), 5_000)
+    return losses.drawn(laid(spark, sf_dir), scored(spark, sf_dir), 5_000, S, BT).withColumn("ref_loss", F.round("ref_loss", 6))
+
+
+@entry(f"WITH {TARGETS} SELECT shard_idx, block_idx, token_index, round(ln(1.0 + ((CAST(y AS BIGINT) * 31 + x * 17) % 97)), 6) AS loss FROM targets")
+def loss_by_scorer(spark, sf_dir):
+    """Blocks as a scorer reads them: their ids in one array, a loss for each target."""
+    ids = F.array_sort(F.collect_list(F.struct("token_index", "x", "y")))  # a block has a fixed number of targets
+    whole = targets(spark, sf_dir).groupBy("shard_idx", "block_idx").agg(ids.alias("p"))
+    whole = whole.select("shard_idx", "block_idx", F.concat(F.array(F.col("p")[0]["x"]), F.transform("p", lambda z: z["y"])).alias("ids"))
+    out = scoring.block_losses(whole, scoring.formula(), ["shard_idx", "block_idx"])
+    return out.select("shard_idx", "block_idx", (F.col("block_idx") * BT + F.col("at")).alias("token_index"), F.round("loss", 6).alias("loss"))
 
 
 def _rho_sql(score: str, frac: float, cap: float) -> str:
@@ -330,8 +347,12 @@ def rho_step_rollup(spark, sf_dir):
     return steps.select("split", "shard_idx", "step", F.round("mean_loss", 6).alias("mean_loss"), F.round("mean_keep_share", 6).alias("mean_keep_share"), "mean_kept", F.round("weighted_loss", 6).alias("weighted_loss"))
 
 
+#: Lanes that are packed side by side.
+LANES = 8
+
+
 def _packed(spark, sf_dir):
-    return rows.pack(placed(spark, sf_dir).select("doc_id", "n_tokens"), seq_len=1024)
+    return rows.pack(placed(spark, sf_dir).select("doc_id", "n_tokens"), seq_len=1024, lanes=LANES)
 
 
 @entry()
@@ -350,3 +371,20 @@ def packed_row_blocks(spark, sf_dir):
     whole = _packed(spark, sf_dir).select("lane", "row_id").distinct().groupBy("lane").agg(F.floor(F.count(F.lit(1)) / B).alias("n_blocks")).where("n_blocks > 0")
     each = whole.select("lane", F.explode(F.expr("sequence(0L, n_blocks - 1)")).alias("block_idx"))
     return each.select("lane", "block_idx", (F.col("block_idx") * B).alias("first_row"), (F.col("block_idx") * B + B - 1).alias("last_row"))
+
+
+@entry()
+def packed_shards(spark, sf_dir):
+    """Packed rows in shards of 20,000 tokens: rows, pieces and tokens of each."""
+    pieces = rows.in_shards(_packed(spark, sf_dir), rows.shard_rows(1024, 20_000))
+    return pieces.groupBy("lane", "shard_idx").agg((F.max("row_in_shard") + 1).alias("n_rows"), F.count(F.lit(1)).alias("n_pieces"), F.sum("used").alias("n_tokens"))
+
+
+@entry(f"WITH {_SCHEDULE} SELECT CAST(rank AS INTEGER) AS rank, shard_idx, block_idx FROM (SELECT * FROM spans WHERE split = 'val' ORDER BY shard_idx, block_idx LIMIT 50), (SELECT unnest(range(4)) AS rank)")
+def validation_schedule(spark, sf_dir):
+    return blocks.validation(blocks.spans(blocks.require_blocks(shards(spark, sf_dir)), BT), 4, 50).select("rank", "shard_idx", "block_idx")
+
+
+@entry(f"WITH {TOK} SELECT split, shard_idx, n_tokens, n_blocks FROM shards ORDER BY shard_idx LIMIT 5")
+def shard_cap(spark, sf_dir):
+    return blocks.first_shards(shards(spark, sf_dir), 5)

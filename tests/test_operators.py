@@ -53,9 +53,12 @@ def test_blocks(spark):
     assert [(r.start, r.end) for r in blocks.spans(shards, 4).orderBy("start").collect()] == [(0, 5), (4, 9)]
     c = losses.coverage(shards, 4).first()
     assert (c.covered, c.unfilled, c.coverage_fraction) == (8, 3, 8 / 11)
-    tokens = spark.range(11).select(F.lit("train").alias("split"), F.lit(0).cast("long").alias("shard_idx"), F.col("id").alias("token_index"), F.col("id").cast("int").alias("token_id"))
-    places = {r.token_index: (r.block_idx, r.row_idx, r.col_idx) for r in blocks.target_places(tokens, shards, 1, 4).collect()}
-    assert places[5] == (1, 0, 0) and set(places) == set(range(1, 9))
+    docs = spark.createDataFrame([(0, [0, 1, 2], 3, 0), (1, [], 0, 3), (2, [3], 1, 3), (3, list(range(4, 11)), 7, 4)], "doc_id long, ids array<int>, n_tokens long, start long")
+    places = {r.token_index: (r.block_idx, r.row_idx, r.col_idx, r.x, r.y) for r in blocks.target_pairs(docs, 11, 0, 1, 4).collect()}
+    assert places[5] == (1, 0, 0, 4, 5) and set(places) == set(range(1, 9)) and all(p[3:] == (i - 1, i) for i, p in places.items())
+    assert blocks.target_pairs(docs.limit(0), 11, 0, 1, 4).count() == 0
+    with pytest.raises(Exception, match="no shard holds a block"):
+        blocks.require_blocks(shards.withColumn("n_blocks", F.lit(0).cast("long"))).collect()
 
 
 def test_shape_errors():
