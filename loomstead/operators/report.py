@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstead.functions.columns import finite
@@ -76,3 +76,39 @@ def category_series(rows: DataFrame) -> DataFrame:
 def last_write(rows: DataFrame) -> DataFrame:
     """The last value in the input for each step."""
     return rows.groupBy("step").agg(F.max_by("value", "input_pos").alias("value"), F.count(F.lit(1)).alias("n"))
+
+
+def payload(record: Column, name: str, reduction: str) -> Column:
+    """A record's entry (a map column) for a reduction: of sums the bare name where the key with "_sum" is absent; one that is null stays null."""
+    if reduction not in ("sum", "mean"):
+        raise ValueError("sum or mean")
+    key = F.lit(f"{name}_{reduction}")
+    own = F.try_element_at(record, key)
+    return own if reduction == "mean" else F.when(F.map_contains_key(record, f"{name}_sum"), own).otherwise(F.try_element_at(record, F.lit(name)))
+
+
+def margin_series(records: DataFrame, column: str) -> DataFrame:
+    """step, domain, mean_signed_m, mean_abs_m of a map of statistics, where both are finite."""
+    rows = records.select("step", F.explode(column).alias("domain", "s")).select("step", "domain", F.col("s.mean_signed_m").alias("mean_signed_m"), F.col("s.mean_abs_m").alias("mean_abs_m"))
+    return both_finite(rows, "mean_signed_m", "mean_abs_m")
+
+
+def both_finite(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Points of two values that are drawn together."""
+    return rows.where(finite(F.col(a)) & finite(F.col(b)))
+
+
+def step_record(step: int, sums: DataFrame, means: DataFrame, final: bool = False, train_loss: float | None = None) -> DataFrame:
+    """One record of an evaluation: maps by domain for each reduction, the sums also under their old names.
+
+    sums and means: domain, acc1, mean_signed_m, mean_abs_m. A final record has no training loss.
+    """
+
+    def maps(rows: DataFrame, suffix: str) -> DataFrame:
+        entries = lambda v: F.map_from_entries(F.array_sort(F.collect_list(F.struct("domain", v.alias("v")))))
+        return rows.agg(entries(F.col("acc1")).alias(f"eval_official_{suffix}"), entries(F.struct("mean_signed_m", "mean_abs_m")).alias(f"eval_margin_stats_{suffix}"))
+
+    one = maps(sums, "sum").crossJoin(F.broadcast(maps(means, "mean")))  # one row each
+    one = one.withColumn("eval_official", F.col("eval_official_sum")).withColumn("eval_margin_stats", F.col("eval_margin_stats_sum"))
+    loss = F.lit(None if final else train_loss).cast("double")
+    return one.withColumn("step", F.lit(step).cast("long")).withColumn("final", F.lit(final)).withColumn("train_loss_last", loss)

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstead.operators.order import after_first
+
 
 def json_step(line: Column, key: str = "step") -> Column:
     """The integer step of a JSON line: numbers truncate, digits in strings parse, true/false and the rest give null."""
@@ -34,6 +36,32 @@ def trim_counts(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_if("removed").alias("removed"), F.count_if(~F.col("removed")).alias("kept"), F.count_if(F.col("kind") == "invalid").alias("invalid_lines_kept"))
 
 
+def trimmed_list(texts: DataFrame, last_step: int) -> DataFrame:
+    """Of JSON texts (column value) that are lists of records: kept (the list without later steps), removed, n_kept, rewrite.
+
+    Running it fails for a text that is no list; a text is rewritten only if something goes.
+    """
+    listed = F.when(F.trim(F.coalesce("value", F.lit(""))).startswith("["), F.from_json("value", "array<string>"))
+    rows = texts.withColumn("records", F.coalesce(listed, F.raise_error(F.lit("not a list of records")).cast("array<string>")))
+    late = lambda r: F.coalesce(json_step(r) > last_step, F.lit(False))
+    rows = rows.withColumn("left", F.filter("records", lambda r: ~late(r))).withColumn("removed", F.size("records") - F.size("left"))
+    kept = F.when(F.col("removed") > 0, F.concat(F.lit("["), F.array_join("left", ","), F.lit("]"))).otherwise(F.col("value"))
+    return rows.withColumn("kept", kept).withColumn("n_kept", F.size("left")).withColumn("rewrite", F.col("removed") > 0).drop("records", "left")
+
+
+def flattened(texts: DataFrame, depth: int = 8) -> DataFrame:
+    """The objects in JSON texts (column value) that are an object or lists of such, nested up to ``depth``; path gives their order.
+
+    Anything else, null included, holds no object.
+    """
+    rows = texts.withColumn("path", F.array().cast("array<int>"))
+    for _ in range(depth):
+        inner = F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.from_json("value", "array<string>")).otherwise(F.array("value"))
+        rows = rows.select(*(c for c in rows.columns if c not in ("value", "path")), "path", F.posexplode(inner).alias("at", "value"))
+        rows = rows.withColumn("path", F.concat("path", F.array("at"))).drop("at")
+    return rows.where(F.startswith(F.ltrim("value"), F.lit("{")))
+
+
 def trimmed(records: DataFrame, last_step: int) -> DataFrame:
     """Records up to a step; those without one stay."""
     return records.where(F.col("step").isNull() | (F.col("step") <= last_step))
@@ -76,9 +104,27 @@ def skip_count(opt_step: Column, micro_steps_seen: Column, grad_accum: int) -> C
     return F.coalesce(F.when(micro_steps_seen >= 0, micro_steps_seen), opt_step * grad_accum)
 
 
-def fast_forward(schedule: DataFrame, n: int, order: list[str]) -> DataFrame:
-    """A deterministic schedule without its first n items."""
-    return schedule.orderBy(*order).offset(n)
+def fast_forward(schedule: DataFrame, n: int, keys: list[str]) -> DataFrame:
+    """A deterministic schedule (its keys do not repeat) without its first n items."""
+    return after_first(schedule, n, keys)
+
+
+def fast_forward_report(schedule: DataFrame, n: int) -> DataFrame:
+    """asked, skipped, left, exhausted: whether the schedule ends before n items."""
+    total = F.count(F.lit(1))
+    return schedule.agg(F.lit(n).cast("long").alias("asked"), F.least(F.lit(n).cast("long"), total).alias("skipped"), F.greatest(total - n, F.lit(0).cast("long")).alias("left"), (total < n).alias("exhausted"))
+
+
+def architecture(config: DataFrame, asked: list[tuple[str, list[str], int]]) -> DataFrame:
+    """label, found, expected, status of (label, alternative keys, expected) against (key, value) rows.
+
+    The first alternative that is there counts; a label without any is left out.
+    """
+    spark = config.sparkSession
+    wanted = spark.createDataFrame([(label, i, key, int(expected)) for label, keys, expected in asked for i, key in enumerate(keys)], "label string, i int, key string, expected long")
+    there = wanted.join(config.select("key", F.col("value").try_cast("double").cast("long").alias("found")), "key")
+    first = there.groupBy("label", "expected").agg(F.min_by("found", "i").alias("found"))
+    return first.select("label", "found", "expected", F.when(F.col("found").eqNullSafe(F.col("expected")), "match").otherwise("mismatch").alias("status"))
 
 
 def checkpoints(names: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Tokenise documents and lay their tokens out in fixed-size shards."""
 
-from __future__ import annotations
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,9 +43,6 @@ def bpe_tokens(docs: DataFrame, ranks_path: str, pattern: str, bos: int = BOS) -
 def detokenized(tokens: DataFrame, ranks_path: str, pattern: str, bos: int = BOS) -> DataFrame:
     """Adds text: the bytes of ids, decoded in Arrow batches; the head mark has none."""
 
-    from collections.abc import Iterator
-
-    import pandas as pd
 
     @F.pandas_udf("string")
     def decode(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:

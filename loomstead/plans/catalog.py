@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from loomstead.plans import corpus, evaluation, logs
+from loomstead.plans import corpus, evaluation, logs, sources
 
 
 def _all() -> list[tuple[str, Callable, str | None]]:
-    return [*corpus.ENTRIES, *evaluation.ENTRIES, *logs.ENTRIES]
+    return [*corpus.ENTRIES, *evaluation.ENTRIES, *logs.ENTRIES, *sources.ENTRIES]
 
 
 def queries() -> dict[str, Callable]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomstead.functions.text import BOS, canonical_category, safe_name, word_ids, words
-from loomstead.operators import choices, order, pairs, scoring
+from loomstead.operators import choices, order, pairs, report, scoring
 from loomstead.plans.corpus import table
 
 ENTRIES: list = []
@@ -209,3 +209,16 @@ def val_loss_first_batches(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").alias("loss"), F.col("l_quantity").alias("n"))
     out = choices.weighted_loss(choices.first_batches(rows, 50, ["l_orderkey", "l_linenumber"]))
     return out.select(F.round("val_loss", 6).alias("val_loss"), "n_batches")
+
+
+@entry(f"""WITH {_pairs_sql()}, s AS (SELECT domain, acc1, mean_abs_m FROM dom), r AS (SELECT domain, acc1 AS a, mean_abs_m AS m FROM s)
+SELECT CAST(7 AS BIGINT) AS step, true AS final, key, domain, round(CASE WHEN key LIKE '%margin%' THEN m ELSE a END, 6) AS value FROM r, (SELECT unnest(['eval_official', 'eval_official_sum', 'eval_margin_stats', 'eval_margin_stats_sum']) AS key)
+UNION ALL SELECT 7, true, 'eval_official_mean', domain, round(acc1, 6) FROM dom""")
+def pair_step_record(spark, sf_dir):
+    """The last record of a run, read back key by key (the signs of sums and means agree, so that they share accuracies)."""
+    sums, means = (pairs.domain_metrics(pairs.margins(pair_scores(spark, sf_dir, how))) for how in ("sum", "mean"))
+    one = report.step_record(7, sums, means, final=True).where("train_loss_last is null")
+    value = lambda key: F.map_entries(key) if "margin" not in key else F.map_entries(F.transform_values(key, lambda k, s: s["mean_abs_m"]))
+    keys = ["eval_official", "eval_official_sum", "eval_margin_stats", "eval_margin_stats_sum", "eval_official_mean"]
+    rows = one.select("step", "final", F.explode(F.array(*(F.struct(F.lit(k).alias("key"), value(k).alias("e")) for k in keys))).alias("r"))
+    return rows.select("step", "final", "r.key", F.explode("r.e").alias("x")).select("step", "final", "key", F.col("x.key").alias("domain"), F.round("x.value", 6).alias("value"))

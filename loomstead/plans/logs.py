@@ -165,15 +165,45 @@ def report_baseline_overlay(spark, sf_dir):
     return report.with_baseline(report.domain_long(_maps(spark, sf_dir), "official"), {"BUILDING": 0.5, "MACHINERY": 0.25})
 
 
-@entry(f"WITH {_MON} SELECT step, field, value FROM (SELECT step, 'value' AS field, value FROM mon WHERE domain = 'BUILDING' UNION ALL SELECT step, 'other', other FROM mon WHERE domain = 'BUILDING' UNION ALL SELECT step, 'n', CAST(n AS DOUBLE) FROM mon WHERE domain = 'BUILDING')")
+@entry(f"WITH {_MON} SELECT domain || '/' || step AS step, field, value FROM (SELECT domain, step, 'value' AS field, value FROM mon UNION ALL SELECT domain, step, 'other', other FROM mon UNION ALL SELECT domain, step, 'n', CAST(n AS DOUBLE) FROM mon)")
 def report_scalar_long(spark, sf_dir):
-    return report.scalar_long(_monthly(spark, sf_dir).where("domain = 'BUILDING'"), ["value", "other", "n"])
+    """All segments; the record of a month and segment is named by both."""
+    rows = _monthly(spark, sf_dir).withColumn("step", F.concat_ws("/", "domain", "step"))
+    return report.scalar_long(rows, ["value", "other", "n"])
 
 
-@entry(f"WITH {_MON} SELECT step, value, 'primary' AS label FROM mon WHERE domain = 'BUILDING' UNION ALL SELECT step, value, 'compare' FROM mon WHERE domain = 'MACHINERY' AND step % 2 = 0")
+@entry(f"WITH {_MON} SELECT step, domain, value, 'primary' AS label FROM mon UNION ALL SELECT step, domain, other, 'compare' FROM mon")
 def report_run_compare(spark, sf_dir):
     rows = _monthly(spark, sf_dir)
-    return report.labelled_union(primary=rows.where("domain = 'BUILDING'").select("step", "value"), compare=rows.where("domain = 'MACHINERY' and step % 2 = 0").select("step", "value"))
+    return report.labelled_union(primary=rows.select("step", "domain", "value"), compare=rows.select("step", "domain", F.col("other").alias("value")))
+
+
+@entry(f"WITH {_MON} SELECT step, domain, CASE step % 3 WHEN 0 THEN floor(value) WHEN 1 THEN floor(other) END AS sums, CASE WHEN step % 2 = 0 THEN floor(other) END AS means FROM mon")
+def report_payload(spark, sf_dir):
+    """Records of three kinds: with the new name, with the old one alone, with the new one empty."""
+    rows, k = _monthly(spark, sf_dir), F.col("step") % 3
+    value, other = F.floor("value").cast("double"), F.floor("other").cast("double")
+    named = lambda *kv: F.create_map(*(F.lit(x) if isinstance(x, str) else x for x in kv))
+    none = F.lit(None).cast("double")
+    sums = F.when(k == 0, named("official_sum", value, "official", other)).when(k == 1, named("official", other)).otherwise(named("official_sum", none, "official", other))
+    record = F.map_concat(sums, F.when(F.col("step") % 2 == 0, named("official_mean", other)).otherwise(named("official_none", other)))
+    return rows.select("step", "domain", report.payload(record, "official", "sum").alias("sums"), report.payload(record, "official", "mean").alias("means"))
+
+
+@entry(f"WITH {_MON} SELECT step, domain, floor(value) AS mean_signed_m, floor(other) AS mean_abs_m FROM mon WHERE step % 4 <> 0 AND step % 5 <> 0")
+def report_margin_series(spark, sf_dir):
+    """A map of statistics a month; every fourth month has no second one, every fifth no number."""
+    signed = F.when(F.col("step") % 5 != 0, F.floor("value").cast("double")).otherwise(F.lit(float("nan")))
+    size = F.when(F.col("step") % 4 != 0, F.floor("other").cast("double"))
+    stats = F.struct(signed.alias("mean_signed_m"), size.alias("mean_abs_m"))
+    records_ = _monthly(spark, sf_dir).groupBy("step").agg(F.map_from_entries(F.collect_list(F.struct("domain", stats.alias("s")))).alias("stats"))
+    return report.margin_series(records_, "stats")
+
+
+@entry(f"WITH {_MON} SELECT step, domain, round(value / 1e6, 9) AS accuracy, round(other / 1e6, 9) AS accuracy_norm FROM mon WHERE n % 7 <> 0")
+def report_choice_series(spark, sf_dir):
+    rows = _monthly(spark, sf_dir).select("step", "domain", F.round(F.col("value") / 1e6, 9).alias("accuracy"), F.when(F.col("n") % 7 != 0, F.round(F.col("other") / 1e6, 9)).alias("accuracy_norm"))
+    return report.both_finite(rows, "accuracy", "accuracy_norm")
 
 
 @entry(f"WITH {_MON} SELECT step, domain, value, 'sum' AS label FROM mon UNION ALL SELECT step, domain, other, 'mean' FROM mon")
@@ -198,3 +228,35 @@ def report_category_series(spark, sf_dir):
 @entry(f"WITH {_REC} SELECT step, arg_max(value, input_pos) AS value, count(*) AS n FROM rec WHERE step IS NOT NULL GROUP BY step")
 def report_last_write(spark, sf_dir):
     return report.last_write(records(spark, sf_dir).where("step is not null").select("step", "value", "input_pos"))
+
+
+@entry("WITH l AS (SELECT user_id, count(*) AS n, count(*) FILTER (k > 50) AS removed FROM (SELECT user_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1) SELECT user_id, CAST(removed AS INTEGER) AS removed, CAST(n - removed AS INTEGER) AS n_kept, removed > 0 AS rewrite FROM l")
+def log_trim_list(spark, sf_dir):
+    """A JSON list of records for each user."""
+    step = F.replace("props", F.lit('"k"'), F.lit('"step"'))
+    texts = table(spark, sf_dir, "events").groupBy("user_id").agg(F.concat(F.lit("["), F.array_join(F.collect_list(step), ","), F.lit("]")).alias("value"))
+    return runlog.trimmed_list(texts, 50).select("user_id", "removed", "n_kept", "rewrite")
+
+
+@entry("SELECT event_id, CAST(place AS INTEGER) AS place, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM (SELECT event_id, props, unnest(range(CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 0 END)) AS place FROM events)")
+def meta_flatten(spark, sf_dir):
+    """Metadata as an object, a list, a list in lists, and as nothing of the kind."""
+    p, k = F.col("props"), F.col("event_id") % 4
+    value = F.when(k == 0, p).when(k == 1, F.concat(F.lit("["), p, F.lit(", "), p, F.lit("]"))).when(k == 2, F.concat(F.lit("[["), p, F.lit("], [["), p, F.lit("], "), p, F.lit(", 7]]"))).otherwise(F.lit("null"))
+    rows = runlog.flattened(table(spark, sf_dir, "events").select("event_id", value.alias("value")))
+    ordered = rows.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("path", "value"))).alias("all")).select("event_id", F.posexplode("all").alias("place", "r"))
+    return ordered.select("event_id", "place", runlog.json_step(F.col("r.value"), "k").alias("k"))
+
+
+@entry("SELECT CAST(asked AS BIGINT) AS asked, least(asked, n) AS skipped, greatest(n - asked, 0) AS \"left\", n < asked AS exhausted FROM (SELECT count(*) AS n FROM orders), (SELECT unnest([1000, 1000000000]) AS asked)")
+def resume_exhaustion(spark, sf_dir):
+    schedule = table(spark, sf_dir, "orders").select("o_orderkey")
+    return runlog.fast_forward_report(schedule, 1000).unionByName(runlog.fast_forward_report(schedule, 1_000_000_000))
+
+
+@entry("""WITH c AS (SELECT n_nationkey AS i, n_regionkey AS v FROM nation WHERE n_nationkey % 4 <> 1), a AS (SELECT r_regionkey AS r, unnest([5 * r_regionkey + 1, 5 * r_regionkey + 2]) AS i FROM region),
+f AS (SELECT r, first(v ORDER BY a.i) AS v FROM a JOIN c USING (i) GROUP BY r) SELECT 'r' || r AS label, CAST(v AS BIGINT) AS found, CAST(2 AS BIGINT) AS expected, CASE WHEN v = 2 THEN 'match' ELSE 'mismatch' END AS status FROM f""")
+def config_architecture(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").where("n_nationkey % 4 <> 1")
+    config = n.select(F.concat(F.lit("n"), "n_nationkey").alias("key"), F.col("n_regionkey").cast("string").alias("value"))
+    return runlog.architecture(config, [(f"r{r}", [f"n{5 * r + 1}", f"n{5 * r + 2}"], 2) for r in range(5)])

@@ -56,6 +56,25 @@ def first_source(candidates: list[str | None]) -> tuple[str | None, list[str]]:
     return None, errors
 
 
+def first_loaded(candidates: list[str | None], load) -> tuple[DataFrame, str]:
+    """The first of several places that loads (its first row is read), and which; if none does, an error with what each said."""
+    errors = []
+    for c in dict.fromkeys(x for x in candidates if x):
+        try:
+            df = load(c)
+            df.take(1)
+            return df, c
+        except Exception as error:
+            errors.append(f"{c}: {str(error).splitlines()[0][:200]}")
+    raise FileNotFoundError("no source loads: " + "; ".join(errors))
+
+
+def choice_examples(spark: SparkSession, candidates: list[str | None], kind: str, order: list[str], limit: int | None = None) -> DataFrame:
+    """Multiple-choice examples from the first place that loads (local copies come first where there is no network), the first ``limit`` in order."""
+    df, _ = first_loaded(candidates, lambda c: spark.read.format(kind).load(c))
+    return df.orderBy(*order).limit(limit) if limit is not None else df
+
+
 def read_meta(path: str) -> dict:
     """One JSON object; a missing file gives {}."""
     if not os.path.exists(path):
@@ -112,20 +131,42 @@ def trim_log(spark: SparkSession, folder: str, last_step: int) -> dict:
     counts = runlog.trim_counts(rows).first().asDict()
     if counts["removed"]:
         rows.where("not removed").select("value").write.mode("overwrite").text(f"{folder}.trimmed")
-        path = spark._jvm.org.apache.hadoop.fs.Path
-        fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(path(f"{folder}.backup")):
-            fs.delete(path(folder), True)
-        else:
-            fs.rename(path(folder), path(f"{folder}.backup"))
-        fs.rename(path(f"{folder}.trimmed"), path(folder))
+        _replace(spark, folder)
     return counts
 
 
-def trim_run(spark: SparkSession, folders: list[str], last_step: int) -> dict:
-    """trim_log for each log of a run, and the totals."""
+def _replace(spark: SparkSession, folder: str) -> None:
+    """Put folder.trimmed in the place of folder; the first original is kept as folder.backup.
+
+    The old log is moved aside, never deleted before the new one is in place: a stop in between leaves both.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    first = not fs.exists(path(f"{folder}.backup"))
+    aside = path(f"{folder}.backup" if first else f"{folder}.old")
+    fs.rename(path(folder), aside)
+    fs.rename(path(f"{folder}.trimmed"), path(folder))
+    if not first:
+        fs.delete(aside, True)
+
+
+def trim_list(spark: SparkSession, path: str, last_step: int) -> dict:
+    """trim_log for a file that is one JSON list; it is written again, as a folder of one file, only if something goes."""
+    from loomstead.operators import runlog
+
+    rows = runlog.trimmed_list(spark.read.text(path, wholetext=True), last_step)
+    done = rows.select("removed", F.col("n_kept").alias("kept"), "rewrite").first().asDict()
+    if done.pop("rewrite"):
+        rows.select(F.col("kept").alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}.trimmed")
+        _replace(spark, path)
+    return done | {"invalid_lines_kept": 0}
+
+
+def trim_run(spark: SparkSession, folders: list[str], last_step: int, lists: list[str] = (), exposures: list[str] = ()) -> dict:
+    """Trim the logs of a run (folders of JSON lines), its JSON lists and the exposure logs of its ranks; the totals."""
     total: dict[str, int] = {}
-    for folder in folders:
-        for k, n in trim_log(spark, folder, last_step).items():
+    counts = [*(trim_log(spark, f, last_step) for f in (*folders, *exposures)), *(trim_list(spark, p, last_step) for p in lists)]
+    for count in counts:
+        for k, n in count.items():
             total[k] = total.get(k, 0) + n
     return total

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomstead.functions.text import clean_choice_text, first_upper, safe_name
-from loomstead.operators import blocks, choices, losses, pairs, report, rows, runlog, selection, tokenize
+from loomstead.operators import blocks, choices, losses, order, pairs, report, rows, runlog, selection, tokenize
 
 
 def placed(spark, lengths):
@@ -187,9 +187,9 @@ def test_union_files(spark):
 
 def test_replayed_shuffle(spark):
     s = spark.range(10).select(F.lit(2).alias("rank"), F.lit(1).alias("worker"), F.lit(0).cast("long").alias("shard_idx"), F.col("id").alias("block_idx"))
-    order = np.arange(10)
-    np.random.default_rng(7 + 2001).shuffle(order)
-    assert [r.block_idx for r in blocks.numpy_shuffled(s, 7).orderBy("place").collect()] == order.tolist()
+    mixed = np.arange(10)
+    np.random.default_rng(7 + 2001).shuffle(mixed)
+    assert [r.block_idx for r in blocks.numpy_shuffled(s, 7).orderBy("place").collect()] == mixed.tolist()
 
 
 def test_limits():
@@ -223,3 +223,61 @@ def test_conditional_logps(spark):
     x = spark.createDataFrame([([-1.0, -2.0, -3.0], 2), ([-1.0, -2.0], 0), ([-1.0], 1), ([-1.0], 5)], "logps array<double>, n int")
     got = [r[0] for r in x.select(pairs.conditional_logps(F.col("logps"), F.col("n"))).collect()]
     assert got == [[-3.0], [-1.0, -2.0], [], []]
+
+
+def test_packed_views():
+    assert rows.shard_rows(1024) == 97_560 and rows.shard_rows(7, asked=3) == 3 and rows.check_packed(16, 7, {"seq_len": 7, "row_tokens": 8}) == 2
+    for bad in (lambda: rows.check_packed(17, 7, {}), lambda: rows.check_packed(16, 7, {"seq_len": 8}), lambda: rows.check_packed(16, 7, {"row_tokens": 7}), lambda: rows.shard_rows(1024, 1000)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_first_batches(spark):
+    x = spark.createDataFrame([(i, float(i), 1) for i in range(3)], "k long, loss double, n long")
+    assert sorted(r.k for r in choices.first_batches(x, 7, ["k"]).collect()) == [0, 0, 0, 1, 1, 2, 2]
+    assert choices.first_batches(x, 2, ["k"]).count() == 2 and choices.first_batches(x.limit(0), 5, ["k"]).count() == 0
+
+
+def test_numbers_in_order(spark):
+    keys = [5, 4095, 4096, 9000, 123_456, -3]
+    got = {r.k: r.place for r in order.numbered(spark.createDataFrame([(k,) for k in keys], "k long"), "k").collect()}
+    assert got == {k: i for i, k in enumerate(sorted(keys))}
+    x = spark.createDataFrame([(k,) for k in keys], "k long")
+    assert sorted(r.k for r in order.after_first(x, 2, ["k"]).collect()) == sorted(keys)[2:]
+    assert order.after_first(x, 0, ["k"]).count() == 6 and order.after_first(x, 99, ["k"]).count() == 0 and order.after_first(x.limit(0), 2, ["k"]).count() == 0
+
+
+def test_trimmed_lists(spark):
+    texts = spark.createDataFrame([('[{"step": 1}, {"step": 9}, {"x": [1, 2]}]',), ("[]",)], "value string")
+    got = [(r.removed, r.n_kept, r.rewrite) for r in runlog.trimmed_list(texts, 5).collect()]
+    assert got == [(1, 2, True), (0, 0, False)] and runlog.trimmed_list(texts, 5).first().kept == '[{"step":1},{"x":[1,2]}]'
+    for bad in ('{"step": 1}', None):
+        with pytest.raises(Exception, match="not a list"):
+            runlog.trimmed_list(spark.createDataFrame([(bad,)], "value string"), 5).collect()
+
+
+def test_flattened(spark):
+    x = spark.createDataFrame([('{"a": 1}',), ('[{"a": 2}, [[{"a": 3}], {"a": [4]}], 7, null]',), ("null",), (None,), ("[]",)], "value string")
+    assert sorted(r.value.replace(" ", "") for r in runlog.flattened(x).collect()) == ['{"a":1}', '{"a":2}', '{"a":3}', '{"a":[4]}']
+
+
+def test_payload(spark):
+    x = spark.createDataFrame([({"m_sum": 1.0, "m": 2.0},), ({"m": 2.0},), ({"m_sum": None, "m": 2.0},), ({"m_mean": 3.0},)], "r map<string,double>")
+    assert [tuple(v) for v in x.select(report.payload(F.col("r"), "m", "sum"), report.payload(F.col("r"), "m", "mean")).collect()] == [(1.0, None), (2.0, None), (None, None), (None, 3.0)]
+
+
+def test_detokenized(spark):
+    import public_tokenizers
+
+    path, texts = str(public_tokenizers.path("byte_bpe_50k.tiktoken")), ["a b  c", "", "é 日本\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    back = tokenize.detokenized(tokenize.bpe_tokens(docs, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    assert [r.text for r in back.orderBy("doc_id").collect()] == texts
+
+
+def test_draws(spark):
+    """Draws fall on covered places alone, all over them."""
+    docs = spark.createDataFrame([(i, [50256, *range(24)], 25, 25 * i) for i in range(10)], "doc_id long, ids array<int>, n_tokens long, start long")
+    scored = blocks.target_pairs(docs, 100, 0, 1, 8).withColumn("ref_loss", (F.col("shard_idx") * 1000 + F.col("token_index")).cast("double"))
+    got = [r.ref_loss for r in losses.drawn(docs, scored, 4000, 100, 8).collect()]
+    assert len(got) == 4000 and set(got) == {r.ref_loss for r in scored.collect()}

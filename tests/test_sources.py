@@ -61,3 +61,34 @@ def test_trimming(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(folder).collect()) == ["odd line", '{"step": 1}']
     assert spark.read.text(f"{folder}.backup").count() == 3
     assert files.trim_run(spark, [folder], 5)["removed"] == 0
+    lists = str(tmp_path / "steps.json")
+    (tmp_path / "steps.json").write_text('[{"step": 1}, {"step": 9}]')
+    spark.createDataFrame([('{"step": 8}',), ('{"step": 2}',)], "value string").coalesce(1).write.text(f"{folder}-rank0")
+    assert files.trim_run(spark, [folder], 5, lists=[lists], exposures=[f"{folder}-rank0"]) == {"removed": 2, "kept": 4, "invalid_lines_kept": 1}
+    assert spark.read.text(lists).first().value == '[{"step":1}]'
+    spark.createDataFrame([('{"step": 7}',)], "value string").coalesce(1).write.mode("append").text(folder)
+    assert files.trim_run(spark, [folder], 5)["removed"] == 1 and spark.read.text(folder).count() == 2 and spark.read.text(f"{folder}.backup").count() == 3
+
+
+def test_first_loaded(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "there"))
+    df, place = files.first_loaded([None, str(tmp_path / "no"), str(tmp_path / "no"), str(tmp_path / "there")], spark.read.parquet)
+    assert place == str(tmp_path / "there") and df.count() == 5
+    with pytest.raises(FileNotFoundError, match="no source loads"):
+        files.first_loaded([str(tmp_path / "no")], spark.read.parquet)
+
+
+def test_shared_folder(spark, monkeypatch):
+    """Without a shared folder a cluster is an error, one machine is not."""
+    from loomstead.sources import shared
+
+    class Conf(dict):
+        set = dict.__setitem__
+
+    class Session:
+        def __init__(self, master):
+            self.conf = Conf({"spark.master": master})
+
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(Session("spark://host:7077"))
+    assert shared.shared_dir(Session("local[4]")).startswith("file://")
