@@ -2,41 +2,41 @@
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from loomstead.sources.shared import fresh_path
+
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Where the session has none (tests on one machine), one is made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{os.path.join(tempfile.gettempdir(), 'loomstead-shared')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+def staged(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFrame:
+    """Write df to the shared folder and read it: cuts lineage, survives lost executors. Its path is added to ``scratch``."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def discard(spark: SparkSession, scratch: list[str]) -> None:
+    """Delete staged tables that nothing reads any more; the list is emptied."""
+    for path in scratch:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    scratch.clear()
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it: cuts lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def scanned(df: DataFrame) -> DataFrame:
+    """df itself if it is read straight from files, so that each pass over it sees its rows in the same places; else a staged copy."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    steps = {line.lstrip(" :+-").split(" ")[0] for line in plan.splitlines() if line.strip()}
+    return df if steps <= {"Project", "Filter", "Relation"} else staged(df, "rows")
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

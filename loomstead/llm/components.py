@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstead.llm.common import staged
+from loomstead.llm.common import discard, staged
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, scratch: list[str] | None = None) -> DataFrame:
     """node, root (the smallest node of its component) of every node of edges (a, b).
 
     Each round is written to the shared folder, which cuts lineage. A star step
     takes a minimum for each node, combined before the shuffle, and joins it back;
     a node with very many neighbours is split by the join's skew handling. Self
-    edges are ignored; an empty table gives no rows.
+    edges are ignored; an empty table gives no rows. Paths of what the result is read from are added to ``scratch``.
     """
-    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    spark, old, new = edges.sparkSession, [], []
+    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", new)
     state = None
     for _ in range(most_rounds):
         check = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == check:
             break
         state = check
+        discard(spark, old)
+        old, new = new, []
         # large star: neighbours above a node go to the smallest node around it
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -30,7 +33,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # small star: a node and its neighbours below it go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = staged(joined.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        now = staged(joined.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges", new)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    discard(spark, old)
+    if scratch is not None:
+        scratch += new
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

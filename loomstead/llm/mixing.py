@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstead.llm.common import WORD, staged
+from loomstead.llm.common import WORD, discard, staged
 
 # Fixed values of the production mix.
 WEIGHTS, CAP, BLOCK, SHARD_WORDS, GROUP_SHARDS, SEED = (5, 2, 1), 3, 128, 1 << 16, 1024, "mix-1"
@@ -82,8 +82,9 @@ def mix(
     group_shards: int = GROUP_SHARDS, seed: str = SEED,
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every row of (doc_id, source, text)."""
-    rows = staged(sized(docs), "sizes")
-    plan = staged(targets(rows, weights, cap).withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long")), "targets")
+    scratch: list[str] = []
+    rows = staged(sized(docs), "sizes", scratch)
+    plan = staged(targets(rows, weights, cap).withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long")), "targets", scratch)
     dealt = rows.join(plan, rows["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     hashed = F.md5(F.concat_ws("|", F.lit(seed), "key"))
     dealt = dealt.withColumn("h", hashed).withColumn("shard", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.col("shards")))
@@ -91,7 +92,7 @@ def mix(
     laid = staged(dealt.withColumn("at", F.sum("size").over(line) - F.col("size")).drop("h", "key", "shards"), "laid")
 
     shards = laid.groupBy("rank", "shard", "source_size", "target").agg(F.sum("size").alias("words")).where("words > 0")
-    shards = staged(shards.withColumn("blocks", F.ceil(F.col("words") / block).cast("long")), "shards")
+    shards = staged(shards.withColumn("blocks", F.ceil(F.col("words") / block).cast("long")), "shards", scratch)
     sources = shards.groupBy("rank", "source_size", "target").agg(F.sum("blocks").alias("blocks"))
     sources = sources.withColumn("votes", F.col("target") * F.col("blocks") / F.col("source_size")).withColumn("most", F.col("blocks") * cap).withColumn("one", F.lit(1))
     all_sources = Window.partitionBy("one")
@@ -104,6 +105,7 @@ def mix(
     group_quotas = group_quotas.select("rank", "group", F.col("blocks").alias("of"), F.col("quota").alias("seats"))
     each = shards.join(group_quotas, ["rank", "group"]).withColumn("votes", F.col("seats") * F.col("blocks") / F.col("of")).withColumn("most", F.col("blocks") * cap)
     shard_quotas = staged(apportioned(each.select("rank", "group", "shard", "words", "blocks", "seats", "votes", "most"), ["rank", "group"], ["shard"]).drop("group"), "quotas")
+    discard(docs.sparkSession, scratch)
 
     b = shard_quotas.withColumn("b", F.explode(F.expr("sequence(0L, blocks - 1)")))
     seeded = Window.partitionBy("rank", "shard").orderBy(F.md5(F.concat_ws("|", F.lit(seed), "rank", "shard", "b")), "b")

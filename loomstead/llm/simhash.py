@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstead.llm.common import as_bytes, slices, staged
+from loomstead.llm.common import as_bytes, discard, slices, staged
 from loomstead.llm.components import components
 
 #: Members from which a bucket is split by variants of the other segment.
@@ -91,14 +91,14 @@ def _bucket_edges(batches):
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def links(distinct: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:
+def links(distinct: DataFrame, hot: int = HOT_BUCKET, scratch: list[str] | None = None) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) that connect all within three bits."""
     p = F.col("p")
     seg = F.when(p < 32, F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("fp", 32))
     variants = distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p")).select(
         "fp", F.expr("shiftleft(cast(p as bigint), 32)").bitwiseOR(seg.bitwiseAND(F.expr("~shiftleft(1L, p % 32)"))).alias("key")
     )
-    buckets = staged(variants.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "buckets")
+    buckets = staged(variants.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "buckets", scratch)
     pairs = buckets.where("n = 2 and bit_count(a ^ b) <= 3").select("a", "b")
     more = variants.join(buckets.where("n > 2").select("key", "n"), "key")
     small = more.where(F.col("n") <= hot).groupBy("key").agg(F.collect_list("fp").alias("members")).select("members").mapInArrow(_bucket_edges, "a long, b long")
@@ -115,10 +115,12 @@ def links(distinct: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable by links) of every row of (doc_id, text)."""
+    scratch: list[str] = []
     prints = staged(fingerprints(docs), "fingerprints")
-    classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = components(links(classes.select("fp"), hot))
+    classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes", scratch)
+    roots = components(links(classes.select("fp"), hot, scratch), scratch=scratch)
     placed = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     names = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = staged(placed.join(names, "root").select("fp", "component_id"), "groups")
+    discard(docs.sparkSession, scratch)
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstead.llm.common import Words, as_bytes, slices, staged
+from loomstead.llm.common import Words, as_bytes, discard, slices, staged
 
 #: Occurrences of an anchor from which its suffixes are dealt by the whole window.
 HOT_ANCHOR = 4096
@@ -296,20 +296,22 @@ def dedup(docs: DataFrame, min_words: int = 13, carry: list[str] | None = None,
     """doc_id, n_words, n_removed, kept_sha256, kept (the text; as it was if nothing goes), spans (words that go) [, carry]."""
     texts = docs.where("doc_id is not null").select("doc_id", "text", *([F.struct(*carry).alias("carry")] if carry else []))
     plain = texts.select("doc_id", "text")
-    read = staged(plain.mapInArrow(_read(min_words), "doc_id long, content long, high long, anchors array<long>, times array<long>"), "anchors")
+    scratch: list[str] = []
+    read = staged(plain.mapInArrow(_read(min_words), "doc_id long, content long, high long, anchors array<long>, times array<long>"), "anchors", scratch)
     contents = read.select("doc_id", "content", "high")
     firsts = contents.groupBy("content", "high").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = contents.join(firsts, ["content", "high"]).where("doc_id > first").select("doc_id", F.col("content").alias("copy")).distinct()
 
     used = read.select("content", F.explode(F.arrays_zip("anchors", "times")).alias("x")).select("content", F.col("x.anchors").alias("anchor"), F.col("x.times").alias("times"))
     shared = used.groupBy("anchor").agg(F.min("content").alias("a"), F.max("content").alias("b"), F.sum("times").alias("n")).where("a <> b")
-    shared = staged(shared.select("anchor", (F.col("n") > hot).alias("hot")), "shared")
+    shared = staged(shared.select("anchor", (F.col("n") > hot).alias("hot")), "shared", scratch)
 
     has = read.select("doc_id", F.explode("anchors").alias("anchor"))
     none = F.lit(None).cast("long")
     noted = has.join(shared, "anchor").select("doc_id", F.when(~F.col("hot"), F.col("anchor")).alias("cold"), F.when(F.col("hot"), F.col("anchor")).alias("hot"), none.alias("copy"))
     noted = noted.unionByName(copies.select("doc_id", none.alias("cold"), none.alias("hot"), "copy"))
     notes = staged(noted.groupBy("doc_id").agg(F.collect_list("cold").alias("cold"), F.collect_list("hot").alias("hot"), F.collect_list("copy").alias("copies")), "notes")
+    discard(docs.sparkSession, scratch)
 
     marked = texts.join(notes, "doc_id").select("doc_id", "text", "cold", "hot", "copies")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
