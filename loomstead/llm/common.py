@@ -94,6 +94,9 @@ def parts_of(texts: list[bytes], limit: int = 4 << 20):
         yield parts, np.array(owners, np.int64)
 
 
+#: Bytes of a text whose runs are hashed at once.
+HASHED = 1 << 20
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
@@ -137,13 +140,28 @@ class Words:
         self._sums = None
 
     def run_hashes(self, k: int) -> np.ndarray:
-        """Hash of words i .. i+k-1 for each i."""
-        if self.n < k:
-            return np.zeros(0, np.uint64)
-        if self._sums is None:
-            data = np.frombuffer(self.line, np.uint8).astype(np.uint64) + np.uint64(1)
-            data *= _powers("up", len(data))[: len(data)]
-            self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data, dtype=np.uint64)])
-        s, e = self.starts[: self.n - k + 1], self.ends[k - 1 :]
-        h = (self._sums[e] - self._sums[s]) * _powers("down", len(self.line) + 1)[s]
-        return mix(h + (e - s).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+        """Hash of words i .. i+k-1 for each i; a long text is taken HASHED bytes at a time."""
+        count = max(0, self.n - k + 1)
+        out = np.empty(count, np.uint64)
+        a = 0
+        while a < count:
+            b = count if len(self.line) <= HASHED else max(a + 1, int(np.searchsorted(self.ends[k - 1 :], self.starts[a] + HASHED, side="right")))
+            low = int(self.starts[a])
+            sums = self._prefix_sums(low, int(self.ends[b + k - 2]))
+            s, e = self.starts[a:b] - low, self.ends[a + k - 1 : b + k - 1] - low
+            h = (sums[e] - sums[s]) * _powers("down", len(sums))[s]
+            out[a:b] = mix(h + (e - s).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+            a = b
+        return out
+
+    def _prefix_sums(self, low: int, high: int) -> np.ndarray:
+        whole = len(self.line) <= HASHED
+        if whole and self._sums is not None:
+            return self._sums
+        high = len(self.line) if whole else high
+        data = np.frombuffer(self.line, np.uint8, high - low, low).astype(np.uint64) + np.uint64(1)
+        data *= _powers("up", len(data))[: len(data)]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data, dtype=np.uint64)])
+        if whole:
+            self._sums = sums
+        return sums

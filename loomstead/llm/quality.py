@@ -9,7 +9,7 @@ are scored in Arrow batches: a gather of weights and a mean.
 Defined cases: null and empty texts have no words, fail the base rules and get
 the probability of an empty text; rows without a doc_id are left out; repeated
 rows are each scored; null labels are ignored, repeated labels of a document
-count once (the lowest); without labels of both kinds the model keeps all; an
+count once (the lowest), as do several texts of one (the greatest); without labels of both kinds the model keeps all; an
 empty table gives no rows. Other columns are not read.
 """
 
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from loomstead.llm.common import Words, slices
 
-#: Labelled rows that the model is fitted on, at most, of each kind.
-MOST_EACH = 2000
+#: Labelled rows that the model is fitted on, at most, of each kind, and the bytes of such a row.
+MOST_EACH, LONGEST = 2000, 1 << 16
 #: Hash buckets of each family of n-grams; the probability from which a text is kept.
 BUCKETS, KEEP = 1 << 16, 0.5
 #: Base rules: fewest words, and the largest percentage of words in repeated windows.
@@ -136,9 +136,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_each: int = MOST_EACH) -> Model
     totals = {r.good: r.n for r in known.groupBy((F.col("quality") > 0).alias("good")).agg(F.count(F.lit(1)).alias("n")).collect()}
     order = F.xxhash64(F.lit(3), "doc_id")
     chosen = known.where("quality > 0").orderBy(order, "doc_id").limit(most_each).unionByName(known.where("quality <= 0").orderBy(order, "doc_id").limit(most_each))
-    # at most 2 * most_each rows of two numbers are broadcast, and as many texts come to the driver
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").collect()
-    rows = sorted({r.doc_id: (r.doc_id, r.text or "", int(r.quality > 0)) for r in sorted(rows, key=lambda r: r.text or "")}.values())
+    # at most 2 * most_each rows of two numbers are broadcast, and as many texts of bounded length come to the driver
+    known_texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= LONGEST)
+    found = known_texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max((F.col("quality") > 0).cast("int")).alias("good"))
+    rows = sorted((r.doc_id, r.text, r.good) for r in found.collect())
     y = np.array([r[2] for r in rows], np.float64)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(2 * BUCKETS), 4.0)
