@@ -135,9 +135,9 @@ def checkpoints(names: DataFrame) -> DataFrame:
 
 
 def model_order(models: DataFrame) -> DataFrame:
-    """Models once each, by step in the name (-1 without one), then name."""
+    """Models with a config file (column has_config) once each, by step in the name (-1 without one), then name."""
     step = F.regexp_extract("name", r"step_?(\d+)", 1)
-    rows = models.select("name").distinct().withColumn("step", F.when(step != "", step.cast("long")).otherwise(-1))
+    rows = models.where("has_config").select("name").distinct().withColumn("step", F.when(step != "", step.cast("long")).otherwise(-1))
     return rows.withColumn("place", F.row_number().over(Window.orderBy("step", "name")) - 1)
 
 

@@ -317,7 +317,7 @@ def _rounded(stats):
 
 @entry(f"WITH {_DELTA} SELECT shard_idx, token_index, round(score, 9) AS score, kept FROM sel")
 def rho_delta(spark, sf_dir):
-    return selection.select_tokens(scored(spark, sf_dir), 0.7).select("shard_idx", "token_index", "score", "kept")
+    return selection.select_tokens(selection.whole_blocks(scored(spark, sf_dir), BT), 0.7).select("shard_idx", "token_index", "score", "kept")
 
 
 @entry(f"WITH {_REF} {_STATS}")

@@ -281,3 +281,13 @@ def test_draws(spark):
     scored = blocks.target_pairs(docs, 100, 0, 1, 8).withColumn("ref_loss", (F.col("shard_idx") * 1000 + F.col("token_index")).cast("double"))
     got = [r.ref_loss for r in losses.drawn(docs, scored, 4000, 100, 8).collect()]
     assert len(got) == 4000 and set(got) == {r.ref_loss for r in scored.collect()}
+
+
+def test_whole_blocks(spark):
+    x = spark.createDataFrame([("t", 0, b, i, 1.0 if b else None) for b in (0, 1) for i in range(4)], "split string, shard_idx long, block_idx long, token_index long, ref_loss double")
+    assert selection.whole_blocks(x.where("block_idx = 1"), 4).count() == 4
+    for bad, n in ((x, 4), (x.where("block_idx = 1"), 5)):
+        with pytest.raises(Exception, match="a block has"):
+            selection.whole_blocks(bad, n).collect()
+    with pytest.raises(ValueError):
+        selection.check_arguments(0.5, "delta", warmup=-1)
