@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,21 +16,35 @@ from loomstead.sources.shared import fresh_path
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def staged(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFrame:
-    """Write df to the shared folder and read it: cuts lineage, survives lost executors. Its path is added to ``scratch``."""
+_WATCHED: list[list[str]] = []
+
+
+@contextmanager
+def scratch():
+    """Lists the paths that are staged inside."""
+    paths: list[str] = []
+    _WATCHED.append(paths)
+    try:
+        yield paths
+    finally:
+        _WATCHED.remove(paths)
+
+
+def staged(df: DataFrame, name: str, used: list[str] | None = None) -> DataFrame:
+    """Write df to the shared folder and read it: cuts lineage, survives lost executors. Its path is added to ``used``."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    if scratch is not None:
-        scratch.append(path)
+    for paths in ([used] if used is not None else []) + _WATCHED:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, scratch: list[str]) -> None:
+def discard(spark: SparkSession, paths: list[str]) -> None:
     """Delete staged tables that nothing reads any more; the list is emptied."""
-    for path in scratch:
+    for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    scratch.clear()
+    paths.clear()
 
 
 def scanned(df: DataFrame) -> DataFrame:

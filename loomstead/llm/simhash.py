@@ -79,38 +79,104 @@ def forest(members: np.ndarray, distance: int = 3) -> list[tuple[int, int]]:
     return edges
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _edges(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    return [np.concatenate([x[i] for x in pairs] or [np.zeros(0, np.int64)]) for i in (0, 1)]
 
 
 def _bucket_edges(batches):
     for batch in batches:
-        out = [(_signed(u), _signed(v)) for members in batch.column(0).to_pylist() for u, v in forest(np.array(members, np.int64).view(np.uint64))]
-        if out:
-            a, b = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        found = [(np.array(e, np.uint64).view(np.int64)[:, 0], np.array(e, np.uint64).view(np.int64)[:, 1]) for members in batch.column(0).to_pylist() if (e := forest(np.array(members, np.int64).view(np.uint64)))]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _edges(found)], names=["a", "b"])
+
+
+def _buckets(hot: int, distance: int = 3):
+    """Sorted (key, fp) to edges (a, b) of each bucket; of a bucket of more than ``hot`` members the rows themselves (hot_key, hot_fp)."""
+
+    def run(batches):
+        key, open_ = None, []  # the bucket that the next batch may go on with
+
+        def closed(keys: np.ndarray, fps: np.ndarray):
+            """Edges and hot rows of whole buckets."""
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            n = np.diff(np.append(first, len(keys)))
+            two = first[n == 2]
+            near = np.bitwise_count((fps[two] ^ fps[two + 1]).view(np.uint64)) <= distance
+            pairs, rows = [(fps[two[near]], fps[two[near] + 1])], [np.zeros(0, np.int64)]
+            for at, size in zip(first[n > 2].tolist(), n[n > 2].tolist()):
+                if size > hot:
+                    rows.append(np.arange(at, at + size))
+                elif found := forest(fps[at : at + size].view(np.uint64), distance):
+                    e = np.array(found, np.uint64).view(np.int64)
+                    pairs.append((e[:, 0], e[:, 1]))
+            rows = np.concatenate(rows).astype(np.int64)
+            return *_edges(pairs), keys[rows], fps[rows]
+
+        def given(a, b, hot_key, hot_fp):
+            none = pa.nulls(len(hot_key), pa.int64()), pa.nulls(len(a), pa.int64())
+            columns = [pa.concat_arrays([pa.array(x), none[0]]) for x in (a, b)] + [pa.concat_arrays([none[1], pa.array(x)]) for x in (hot_key, hot_fp)]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b", "hot_key", "hot_fp"])
+
+        spilled = False  # the open bucket is hot already, its first members are given
+        empty = np.zeros(0, np.int64)
+        for batch in batches:
+            keys, fps = (np.asarray(batch.column(i)) for i in (0, 1))
+            if not len(keys):
+                continue
+            if open_ and keys[0] != key:
+                if not spilled:
+                    held = np.concatenate(open_)
+                    yield given(*closed(np.full(len(held), key), held))
+                open_, spilled = [], False
+            last = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on
+            if open_ and last > 0:  # the open bucket ends in this batch
+                end = int(np.searchsorted(keys, key, side="right"))
+                if spilled:
+                    yield given(empty, empty, keys[:end], fps[:end])
+                else:
+                    held = np.concatenate([*open_, fps[:end]])
+                    yield given(*closed(np.full(len(held), key), held))
+                open_, spilled = [], False
+                keys, fps, last = keys[end:], fps[end:], last - end
+            if last > 0:
+                yield given(*closed(keys[:last], fps[:last]))
+            key = int(keys[-1])
+            open_.append(fps[last:])
+            if spilled or sum(map(len, open_)) > hot:
+                held, spilled = np.concatenate(open_), True
+                yield given(empty, empty, np.full(len(held), key), held)
+                open_ = [empty]
+        if open_ and not spilled:
+            held = np.concatenate(open_)
+            yield given(*closed(np.full(len(held), key), held))
+
+    return run
 
 
 def links(distinct: DataFrame, hot: int = HOT_BUCKET, scratch: list[str] | None = None) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column fp) that connect all within three bits."""
+    """Edges (a, b) between distinct fingerprints (column fp) that connect all within three bits.
+
+    Each variant is moved once, with its fingerprint; a task reads its buckets in order.
+    """
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     p = F.col("p")
     seg = F.when(p < 32, F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("fp", 32))
-    variants = distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p")).select(
-        "fp", F.expr("shiftleft(cast(p as bigint), 32)").bitwiseOR(seg.bitwiseAND(F.expr("~shiftleft(1L, p % 32)"))).alias("key")
+    variants = distinct.repartition(n, "fp").select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p")).select(
+        F.expr("shiftleft(cast(p as bigint), 32)").bitwiseOR(seg.bitwiseAND(F.expr("~shiftleft(1L, p % 32)"))).alias("key"), "fp"
     )
-    buckets = staged(variants.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "buckets", scratch)
-    pairs = buckets.where("n = 2 and bit_count(a ^ b) <= 3").select("a", "b")
-    more = variants.join(buckets.where("n > 2").select("key", "n"), "key")
-    small = more.where(F.col("n") <= hot).groupBy("key").agg(F.collect_list("fp").alias("members")).select("members").mapInArrow(_bucket_edges, "a long, b long")
+    met = variants.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_buckets(hot), "a long, b long, hot_key long, hot_fp long")
+    met = staged(met, "edges", scratch)
     # hot buckets: the other segment's halves, each less one bit, with the key; 2 ** 18 fingerprints share one at most
+    more = met.where("hot_key is not null").select(F.col("hot_key").alias("key"), F.col("hot_fp").alias("fp"))
     other = F.when(F.shiftright("key", 37) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
     half = F.expr("shiftright(other, if(q < 16, 0, 16)) & 65535 & ~shiftleft(1, q % 16)")
     again = (
-        more.where(F.col("n") > hot).select("fp", "key", other.alias("other"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("q"))
+        more.select("fp", "key", other.alias("other"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("q"))
         .select("fp", "key", "q", half.alias("half")).groupBy("key", "q", "half").agg(F.collect_list("fp").alias("members"))
         .where(F.size("members") > 1).select("members").mapInArrow(_bucket_edges, "a long, b long")
     )
-    return pairs.unionByName(small).unionByName(again).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = met.where("a is not null").select("a", "b")
+    return pairs.unionByName(again).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:

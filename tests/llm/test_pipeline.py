@@ -63,3 +63,77 @@ def test_no_row_is_lost(spark, sf):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = sorted((r.doc_id, r.text or "") for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect())
     assert kept == sorted([(1, texts[0]), (1, texts[1]), (0, texts[2]), (3, "")])
+
+
+def test_chain_by_brute_force(spark, sf):
+    """Every stage on what its predecessor kept, against plain computations (the scores of toxicity are held by a test of their own)."""
+    import hashlib
+
+    import duckdb
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from loomstead.llm import mixing, queries
+    from tests.llm.test_exact import windows_removed
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+
+    def ran(name, frame):
+        rows = stages[name](spark, frame, sf).select(*corpus_pipeline.COLUMNS).collect()
+        return rows, spark.createDataFrame(rows, frame.schema)
+
+    rows, docs = ran("toxicity", docs)
+    toxic = {r.doc_id for r in queries.op5_toxicity(spark, sf).collect() if r.predicted}
+    assert sorted(r.doc_id for r in rows) == sorted(set(texts) - toxic) and all((r.text or "") == texts[r.doc_id] for r in rows)
+
+    kept = sorted(r.doc_id for r in rows)
+    lowered = {i: "".join(c.lower() if c.isascii() else c for c in texts[i]).encode().split() for i in kept}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, w in lowered.items()}
+    group = {i: i for i in kept}
+    for n, a in enumerate(kept):
+        for b in kept[:n]:
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = {i: low if g == high else g for i, g in group.items()}
+    rows, docs = ran("simhash near-dedup", docs)
+    assert sorted(r.doc_id for r in rows) == sorted(set(group.values())) and len(set(group.values())) < len(kept)
+
+    before = {r.doc_id: r.text or "" for r in rows}
+    want = windows_removed(before)
+    rows, docs = ran("substring dedup", docs)
+    assert sorted(r.doc_id for r in rows) == sorted(before)
+    for r in rows:
+        n, gone, digest = want[r.doc_id]
+        text = r.text or ""
+        assert hashlib.sha256(b" ".join(text.encode().split())).hexdigest() == digest and (gone or text == before[r.doc_id]) and r.n_chars == len(text)
+
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    taken = {i: (size, n) for i, _, size, _, _, n in con.execute(mixing.ORACLE.format(documents="documents")).fetchall()}
+    rows, docs = ran("mixing", docs)
+    copies = {i: sum(r.doc_id == i for r in rows) for i in taken}
+    assert all((n // size <= copies[i] <= n // size + (n % size > 0)) if size else copies[i] == 1 for i, (size, n) in taken.items())
+
+    library = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    want = {}
+    for r in rows:
+        want[r.doc_id] = want.get(r.doc_id, 0) + len(library.encode(r.text or "", add_special_tokens=False).ids) + 1
+    got = {}
+    for r in stages["packing"](spark, docs, sf).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+    assert got == want
+
+
+def test_run_leaves_its_results_alone(spark, sf):
+    """Staged tables of a stage go once its result is written; the result is whole."""
+    import os
+
+    from loomstead.sources.shared import shared_dir
+
+    root = shared_dir(spark).removeprefix("file://")
+    there = set(os.listdir(root)) if os.path.exists(root) else set()
+    out = corpus_pipeline.run(spark, sf)
+    made = set(os.listdir(root)) - there
+    assert out.count() > 0 and sum(x.startswith(tuple(n.replace(" ", "-") for n, _ in corpus_pipeline.STAGES)) for x in made) == 1 == len(made)
