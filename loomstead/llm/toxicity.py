@@ -173,7 +173,7 @@ class Index:
         order = np.lexsort((term, count, example))
         common[example[order]] = term[order]  # the last of each example stays
         placed = np.lexsort((ids, np.bincount(example, count, len(ids)), common, toxic))
-        place = np.empty(len(ids), np.int64)
+        place = np.empty(len(ids), np.int32)
         place[placed] = np.arange(len(ids))
         self.ids, self.toxic, self.weight = ids[placed], toxic[placed].astype(np.float64), weight[placed]
         self.blocks = -(-len(ids) // block)
@@ -188,7 +188,7 @@ class Index:
         # the others by term, each by place; entries are the blocks of the lists
         order = np.lexsort((spot[~dense], term[~dense]))
         term, self.place, self.post = term[~dense][order], spot[~dense][order].astype(np.int32), w[~dense][order]
-        entry = term * max(1, self.blocks) + self.place // block
+        entry = term.astype(np.int64) * max(1, self.blocks) + self.place // block
         first = np.flatnonzero(np.r_[True, entry[1:] != entry[:-1]]) if len(entry) else np.zeros(0, np.int64)
         self.entry_start = np.append(first, len(entry))
         self.entry_block = (entry[first] % max(1, self.blocks)).astype(np.int32)
@@ -321,30 +321,33 @@ class Fitted:
 
 def fit(docs: DataFrame, labels: DataFrame, **bounds) -> Fitted:
     found, toxic, weight = labelled_sample(docs, labels, **bounds)
+    ids, n = np.asarray(found.column("doc_id").combine_chunks(), np.int64), len(found)
+    if not n:
+        empty = np.zeros(0, np.int32)
+        return Fitted([], Index((empty, empty, empty), np.zeros(0), ids, toxic, weight))
     lists = found.column("terms").combine_chunks()
-    flat = lists.flatten().dictionary_encode() if len(found) else pa.array([], pa.binary()).dictionary_encode()
+    flat = lists.flatten().dictionary_encode()
     terms = flat.dictionary.to_pylist()
-    example = np.repeat(np.arange(len(found)), np.asarray(lists.value_lengths(), np.int64) if len(found) else np.zeros(0, np.int64))
-    term = np.asarray(flat.indices, np.int64)
-    count = np.asarray(found.column("counts").combine_chunks().flatten(), np.int64) if len(found) else np.zeros(0, np.int64)
+    example = np.repeat(np.arange(n, dtype=np.int32), np.asarray(lists.value_lengths()))
+    term, count = np.asarray(flat.indices, np.int32), np.asarray(found.column("counts").combine_chunks().flatten()).astype(np.int32)
+    del found, lists, flat
     total, df = document_frequencies(docs, terms) if terms else (0, np.zeros(0, np.int64))
     idf = np.log((1 + total) / (1 + df))
-    ids = np.asarray(found.column("doc_id").combine_chunks(), np.int64)
-    index = Index((example, term, count), idf, ids, toxic, weight)
-    fold, votes = np.arange(len(ids)) % FOLDS, np.zeros(len(ids))
-    for f in range(FOLDS if len(ids) >= FOLDS else 0):
-        number = np.cumsum(fold != f) - 1
+    fold, votes = np.arange(n) % FOLDS, np.zeros(n)
+    for f in range(FOLDS if n >= FOLDS else 0):
+        number = (np.cumsum(fold != f) - 1).astype(np.int32)
         rest, own = fold[example] != f, fold[example] == f
         part = Index((number[example[rest]], term[rest], count[rest]), idf, ids[fold != f], toxic[fold != f], weight[fold != f])
         number = np.cumsum(fold == f) - 1
         votes[fold == f] = part.votes(*part.nearest(number[example[own]], term[own], count[own], int((fold == f).sum())))
-    if len(ids):
-        index.levels, index.rates = isotonic(votes, toxic.astype(np.float64), weight)
+        del part, rest, own  # one index at a time is held
+    index = Index((example, term, count), idf, ids, toxic, weight)
+    index.levels, index.rates = isotonic(votes, toxic.astype(np.float64), weight)
     return Fitted(terms, index)
 
 
-def score(docs: DataFrame, fitted: Fitted, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, score, evidence (neighbours: doc_id, cosine, toxic) of every row [, carry]."""
+def score(docs: DataFrame, fitted: Fitted, carry: list[str] | None = None, with_text: bool = False) -> DataFrame:
+    """doc_id, score, evidence (neighbours: doc_id, cosine, toxic) of every row [, text] [, carry]."""
     shared = docs.sparkSession.sparkContext.broadcast(fitted)  # bounded by the sample
 
     def run(batches):
@@ -356,10 +359,13 @@ def score(docs: DataFrame, fitted: Fitted, carry: list[str] | None = None) -> Da
                 near = places >= 0
                 flat = pa.StructArray.from_arrays([pa.array(index.ids[places[near]], pa.int64()), pa.array(cosines[near]), pa.array(index.toxic[places[near]].astype(np.int32))], names=["doc_id", "cosine", "toxic"])
                 evidence = pa.ListArray.from_arrays(np.cumsum([0, *near.sum(axis=1)]).astype(np.int32), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), evidence, *batch.columns[2:]], names=["doc_id", "score", "evidence", *batch.schema.names[2:]])
+                more = batch.schema.names[1 if with_text else 2 :]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), evidence, *map(batch.column, more)], names=["doc_id", "score", "evidence", *more])
 
     rows = docs.where("doc_id is not null").select("doc_id", "text", *([F.struct(*carry).alias("carry")] if carry else []))
     schema = "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>"
+    if with_text:
+        schema += ", text string"
     if carry:
         schema += f", carry {rows.schema['carry'].dataType.simpleString()}"
     return rows.mapInArrow(run, schema)
