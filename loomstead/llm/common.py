@@ -39,6 +39,15 @@ def staged(df: DataFrame, name: str, used: list[str] | None = None) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a staged table for which a file of its own is written, and files that are written of fewer rows at most.
+FILE_ROWS, FEW_FILES = 1 << 17, 8
+
+
+def in_few_files(df: DataFrame, rows: int) -> DataFrame:
+    """df, of about ``rows`` narrow rows, for writing: not a file for each shuffle partition (the local store forks the JVM for each)."""
+    return df.coalesce(FEW_FILES + rows // FILE_ROWS)
+
+
 def discard(spark: SparkSession, paths: list[str]) -> None:
     """Delete staged tables that nothing reads any more; the list is emptied."""
     for path in paths:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstead.llm.common import discard, staged
+from loomstead.llm.common import discard, in_few_files, staged
 
 
 def components(edges: DataFrame, most_rounds: int = 60, scratch: list[str] | None = None) -> DataFrame:
     """node, root (the smallest node of its component) of every node of edges (a, b).
 
-    Each round is written to the shared folder, which cuts lineage. A star step
+    Each round is written to the shared folder, which cuts lineage, in few files if there are few edges. A star step
     takes a minimum for each node, combined before the shuffle, and joins it back;
     a node with very many neighbours is split by the join's skew handling. Self
     edges are ignored; an empty table gives no rows. Paths of what the result is read from are added to ``scratch``.
@@ -33,7 +33,7 @@ def components(edges: DataFrame, most_rounds: int = 60, scratch: list[str] | Non
         # small star: a node and its neighbours below it go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = staged(joined.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges", new)
+        now = staged(in_few_files(joined.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), check[0]), "edges", new)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     discard(spark, old)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstead.llm.common import as_bytes, discard, slices, staged
+from loomstead.llm.common import as_bytes, discard, in_few_files, slices, staged
 from loomstead.llm.components import components
 
 #: Members from which a bucket is split by variants of the other segment.
@@ -183,10 +183,11 @@ def near_duplicates(docs: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable by links) of every row of (doc_id, text)."""
     scratch: list[str] = []
     prints = staged(fingerprints(docs), "fingerprints")
-    classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes", scratch)
+    rows = prints.count()
+    classes = staged(in_few_files(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), rows), "classes", scratch)
     roots = components(links(classes.select("fp"), hot, scratch), scratch=scratch)
     placed = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     names = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = staged(placed.join(names, "root").select("fp", "component_id"), "groups")
+    named = staged(in_few_files(placed.join(names, "root").select("fp", "component_id"), rows), "groups")
     discard(docs.sparkSession, scratch)
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")

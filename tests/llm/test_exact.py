@@ -431,3 +431,23 @@ def test_large_buckets_of_near_copies(spark):
     for bounds in ({}, {"members": 8}, {"held": 1000}):
         got = {x.doc_id: x.component_id for x in minhash.near_copies(docs, **bounds).collect()}
         assert [got[i] for i in range(150)] == group, bounds
+
+
+def test_rounds_of_few_edges_are_few_files(spark):
+    """A round of components is not a file for each shuffle partition: the local store forks the JVM for every file."""
+    import glob
+
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        scratch = []
+        edges = spark.range(400).selectExpr("id as a", "id + 400 as b")
+        got = components.components(edges, scratch=scratch).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {(x.node, x.root) for x in got} == {(n, n % 400) for n in range(800)}
+    files = [f for path in scratch for f in glob.glob(f"{path.removeprefix('file:')}/part-*")]
+    assert 0 < len(files) <= 8
