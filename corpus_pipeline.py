@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstead.llm import minhash, mixing, packing, substring, toxicity
+from loomstead.llm import mixing, packing, similar, substring, toxicity
 from loomstead.llm.common import discard, scratch, staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,11 +26,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies (five-word shingles, similarity 0.8): that of the smallest doc_id.
+    """One row of each group of near copies: that of the smallest doc_id.
 
+    Near copies are found by SimHash over five-word shingles and have a similarity of 0.8 by an exact check.
     Rows with one doc_id and different texts stay as long as they are in different groups.
     """
-    kept = minhash.first_of_each(docs, COLUMNS)
+    kept = similar.first_of_each(docs, COLUMNS)
     return kept.unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 

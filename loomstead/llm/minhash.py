@@ -11,8 +11,7 @@ classes, or of more than HELD shingles, is cut into blocks; each task gets two o
 them, so that all members meet and no task holds more. Components of the links are
 the groups.
 
-A 64-bit SimHash cannot take this part: sets of similarity 0.8 differ in some
-ten bits of 64, and segments for so many are too short to tell texts apart.
+The pipeline finds its near copies by SimHash (``similar``), with the exact comparison of this module.
 
 Defined cases: null and empty texts are one class; rows without a doc_id are in
 no group and left out; repeated rows are of one class; rows with one doc_id and
@@ -148,9 +147,18 @@ def links(classes: DataFrame, rows: DataFrame, members: int = MEMBERS, held: int
     whole = staged(whole, "buckets", scratch)
     pairs = whole.where("size(nodes) = 2").select(F.col("nodes")[0].alias("a"), F.col("nodes")[1].alias("b"))
     several = whole.where("size(nodes) > 2").select(F.xxhash64("nodes").alias("bucket"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.explode("nodes").alias("node"))
+    return compared(met, pairs, several, met.where(~fits), rows, members, held, scratch)
+
+
+def compared(met: DataFrame, pairs: DataFrame, several: DataFrame, large: DataFrame, rows: DataFrame, members: int, held: int, scratch: list[str] | None) -> DataFrame:
+    """Links (a, b) that connect all classes of similarity 0.8 or more among those that met.
+
+    met: row, node of all; pairs: a, b; several: bucket, i, j, node of what one task
+    compares; large: key, node, n, weight of the buckets that are cut into blocks.
+    """
     # blocks of half a task's load; a member goes to a task with each other block of its bucket
     blocks = F.greatest(F.lit(2), F.ceil(F.col("n") * 2 / members), F.ceil(F.col("weight") * 2 / held)).cast("int")
-    block = met.where(~fits).select("key", "node", blocks.alias("m"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
+    block = large.select("key", "node", blocks.alias("m"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
     spread = block.select("key", "node", "own", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other")).where("own <> other")
     spread = spread.select(F.col("key").alias("bucket"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
     wanted = met.select("row", "node").distinct()

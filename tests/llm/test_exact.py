@@ -451,3 +451,90 @@ def test_rounds_of_few_edges_are_few_files(spark):
     assert {(x.node, x.root) for x in got} == {(n, n % 400) for n in range(800)}
     files = [f for path in scratch for f in glob.glob(f"{path.removeprefix('file:')}/part-*")]
     assert 0 < len(files) <= 8
+
+
+def test_near_copies_by_simhash(spark):
+    """Deletion variants of 16-bit segments: what meets by brute force is connected, however buckets are searched; pairs of similarity 0.8 meet."""
+    from loomstead.llm import similar
+
+    r = np.random.default_rng(8)
+    sets = []
+    for n in (4, 9, 18, 45, 90, 900):
+        for _ in range(60):  # n of n + n / 4 hashes
+            large = r.integers(0, 1 << 64, n + max(1, n // 4), np.uint64)
+            sets += [np.sort(large), np.sort(large[:n])]
+    for n in (40, 41, 42):  # chains
+        base = r.integers(0, 1 << 64, 200, np.uint64)
+        sets += [np.sort(base[i : i + n * 3]) for i in range(0, 60, 4)]
+    prints = np.frombuffer(b"".join(map(similar.fingerprint, sets)), np.uint8).reshape(len(sets), -1)
+    one = sets[8]
+    assert similar.fingerprint(one) == np.packbits([2 * sum((int(h) >> b) & 1 for h in column) > len(one) for column in common_mix(one) for b in range(64)], bitorder="little").tobytes()
+    size = np.array([len(x) for x in sets])
+    want = []
+    for i in range(len(sets)):
+        for j in range(i):
+            segments = np.bitwise_count((prints[i] ^ prints[j]).view(np.uint16))
+            bits = np.bitwise_count(prints[i] ^ prints[j])
+            far = similar.FAR_TINY if max(size[i], size[j]) <= similar.TINY else similar.FAR
+            if segments.min() <= 1 and bits[:8].sum() <= similar.FIRST and bits[:32].sum() <= far and 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j]):
+                want.append((j, i))
+    root = list(range(len(sets)))
+    for a, b in want:
+        low, high = sorted((root[a], root[b]))
+        root = [low if x == high else x for x in root]
+    classes = spark.createDataFrame([(i, int(size[i]), bytearray(prints[i].tobytes())) for i in range(len(sets))], "node long, size long, bits binary")
+    for hot in (similar.HOT_BUCKET, 2):
+        found = {x.node: x.root for x in components.components(similar.candidates(classes, hot)).collect()}
+        got = [found.get(i, i) for i in range(len(sets))]
+        if hot > 2:
+            assert got == root
+        # member by member, the first 64 bits are not looked at by themselves
+        assert all(got[a] == got[b] for a, b in want)
+    assert sum(root[i] == root[i + 1] for i in range(0, 720, 2)) >= 358
+
+
+def common_mix(hashes):
+    """The eight 64-bit hashes of each hash, column by column."""
+    from loomstead.llm import similar
+
+    return [similar.mix(hashes * f) for f in similar._FACTORS]
+
+
+def test_pipeline_near_dedup_is_simhash(spark, monkeypatch):
+    """The stage finds edited copies by SimHash: no MinHash band is made."""
+    import corpus_pipeline
+    from loomstead.llm import minhash
+
+    def none(*_):
+        raise AssertionError("MinHash in the SimHash stage")
+
+    monkeypatch.setattr(minhash, "signatures", none)
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join(words), " ".join([*words[:40], "other", *words[41:]]), " ".join(f"v{i}" for i in range(80))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [0, 2]
+
+
+def test_large_groups_of_near_copies_by_simhash(spark):
+    """Many edited copies of one text: the same groups whole, in blocks, and by brute force."""
+    from loomstead.llm import similar
+
+    r = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(150):
+        v = list(base)
+        for _ in range(r.randint(0, 4)):
+            v[r.randrange(60)] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(v))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(56)} for t in texts]
+    group = list(range(150))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for bounds in ({}, {"members": 8}, {"held": 1000}, {"hot": 4}):
+        got = {x.doc_id: x.component_id for x in similar.near_copies(docs, **bounds).collect()}
+        assert [got[i] for i in range(150)] == group, bounds
