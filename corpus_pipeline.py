@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstead.llm import mixing, packing, similar, substring, toxicity
-from loomstead.llm.common import discard, scratch, staged
+from loomstead.llm.common import discard, give_back, scratch, staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document of this score or more is rejected.
@@ -22,6 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below REJECT; rows without a doc_id stay unscored."""
     index = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.score(docs, index, carry=["lang", "source", "n_chars"], with_text=True).where(F.col("score") < REJECT)
+    del index  # it is broadcast
+    give_back()
     return scored.select("doc_id", "text", "carry.*").unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from contextlib import contextmanager
 
@@ -56,6 +58,15 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system; else the driver holds the peak of one stage through all later ones."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 def scanned(df: DataFrame) -> DataFrame:
     """df itself if it is read straight from files, so that each pass over it sees its rows in the same places; else a staged copy."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstead.llm.common import as_bytes, discard, mix, scanned, slices, staged
-from loomstead.llm.components import components
+from loomstead.llm.components import components, rooted
 from loomstead.llm.minhash import HELD, MEMBERS, compared, lowered, runs
 
 #: Bytes of a fingerprint; a segment is two of them.
@@ -42,6 +42,8 @@ FIRST, FAR, FAR_TINY, TINY = 24, 64, 76, 8
 HOT_BUCKET = 1024
 #: Buckets and members that are compared at once.
 TOGETHER, AT_ONCE = 32, 1 << 16
+#: Edges (16 bytes each) up to which one task finds the components; more take rounds in the cluster.
+FEW_EDGES = 1 << 18
 
 MEMBER = np.dtype([("node", "<i8"), ("size", "<i4"), ("bits", "<u8", 4), ("other", "u1")])
 _FACTORS = mix(np.arange(1, BYTES // 8 + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
@@ -98,21 +100,6 @@ def _dealt(batches):
             yield pa.RecordBatch.from_arrays([pa.array(half[first].astype(np.int32) + 256 * at), data], names=["bucket", "members"])
 
 
-def _rooted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from each node to the least of its component."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[x], root[y])
-        if (root[x] == low).all() and (root[y] == low).all():
-            break
-        np.minimum.at(root, x, low)
-        np.minimum.at(root, y, low)
-        root = root[root]
-    moved = np.flatnonzero(root != np.arange(len(nodes)))
-    return nodes[moved], nodes[root[moved]]
-
-
 def _alike(bits: np.ndarray, size: np.ndarray, a, b) -> np.ndarray:
     """Whether members a and b (of no smaller sets) may be of similarity 0.8."""
     far = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=-1, dtype=np.int64)
@@ -156,7 +143,7 @@ def met(members: np.ndarray, group: np.ndarray, hot: int = HOT_BUCKET) -> tuple[
                     frontier += rest[hit].tolist()
                     rest = rest[~hit]
     a, b = (np.concatenate([x[i] for x in pairs]) for i in (0, 1))
-    return _rooted(node[a], node[b])
+    return rooted(node[a], node[b])
 
 
 def _buckets(hot: int):
@@ -193,9 +180,9 @@ def candidates(classes: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:
     return dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_buckets(hot), "a long, b long").distinct()
 
 
-def links(classes: DataFrame, rows: DataFrame, members: int = MEMBERS, held: int = HELD, hot: int = HOT_BUCKET, scratch: list[str] | None = None) -> DataFrame:
+def links(classes: DataFrame, rows: DataFrame, members: int = MEMBERS, held: int = HELD, hot: int = HOT_BUCKET, scratch: list[str] | None = None, few: int = FEW_EDGES) -> DataFrame:
     """Links (a, b) that connect all similar classes. classes: node, first (with a row of the class), size, bits; rows: row, text."""
-    roots = components(candidates(classes, hot), scratch=scratch)
+    roots = components(candidates(classes, hot), scratch=scratch, few=few)
     found = classes.select("node", "first.row", "size").join(roots.select("node", F.col("root").alias("key")), "node")
     found = staged(found, "candidates", scratch)
     weights = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"))
@@ -206,13 +193,13 @@ def links(classes: DataFrame, rows: DataFrame, members: int = MEMBERS, held: int
     return compared(together, pairs, several, together.where(~fits & (F.col("n") > 2)), rows, members, held, scratch)
 
 
-def _grouped(docs: DataFrame, **bounds) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, few: int = FEW_EDGES, **bounds) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All rows with their numbers; row, doc_id, node of each; of each class, the first (doc_id, row) of its group."""
     scratch: list[str] = []
     rows = scanned(docs).where("doc_id is not null").withColumn("row", F.monotonically_increasing_id())
     prints = staged(signatures(rows), "signatures")
     classes = staged(prints.groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.first("size").alias("size"), F.first("bits").alias("bits")), "classes", scratch)
-    roots = components(links(classes, rows, scratch=scratch, **bounds), scratch=scratch)
+    roots = components(links(classes, rows, scratch=scratch, few=few, **bounds), scratch=scratch, few=few)
     placed = classes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     firsts = placed.groupBy("root").agg(F.min("first").alias("group"))
     groups = staged(placed.join(firsts, "root").select("node", "group"), "groups")

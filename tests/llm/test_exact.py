@@ -453,6 +453,56 @@ def test_rounds_of_few_edges_are_few_files(spark):
     assert 0 < len(files) <= 8
 
 
+def test_few_edges_are_settled_by_one_task(spark):
+    """The same stars as by rounds, in a few jobs, whatever the shape; more edges than ``few`` take rounds."""
+    r, names = random.Random(7), list(range(-3000, 3000))
+    r.shuffle(names)
+    path = list(zip(names[:2000], names[1:2000]))
+    star = [(names[2000], x) for x in names[2001:2600]]
+    loose = [(r.choice(names[2600:]), r.choice(names[2600:])) for _ in range(1500)]
+    edges = spark.createDataFrame(path + star + path[:9] + loose + [(names[0], names[0])], "a long, b long")
+
+    def ran(label, **bounds):
+        spark.sparkContext.setJobGroup(label, label)
+        try:
+            got = {x.node: x.root for x in components.components(edges, **bounds).collect()}
+        finally:
+            spark.sparkContext._jsc.clearJobGroup()
+        return got, len(spark.sparkContext.statusTracker().getJobIdsForGroup(label))
+
+    rounds, many = ran("rounds")
+    once, jobs = ran("once", few=1 << 18)
+    more, again = ran("more", few=100)
+    assert once == rounds == more and set(once) == {x for e in path + star + loose if e[0] != e[1] for x in e}
+    assert {once[x] for x in names[:2000]} == {min(names[:2000])}
+    assert jobs <= 8 < many / 3 and again > jobs
+    assert components.components(edges.limit(0), few=10).collect() == []
+
+
+def test_near_copies_of_few_links_take_few_jobs(spark):
+    """The driver plans and keeps no rounds of star steps for a handful of links; the groups are those of the rounds."""
+    from loomstead.llm import similar
+
+    r = random.Random(3)
+    texts = []
+    for _ in range(12):
+        w = [f"w{r.randrange(4000)}" for _ in range(90)]
+        texts += [" ".join(w), " ".join(w[:-1] + ["end"]), " ".join([*w[:-2], "an", "end"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def ran(label, **bounds):
+        spark.sparkContext.setJobGroup(label, label)
+        try:
+            got = sorted((x.doc_id, x.component_id) for x in similar.near_copies(docs, **bounds).collect())
+        finally:
+            spark.sparkContext._jsc.clearJobGroup()
+        return got, len(spark.sparkContext.statusTracker().getJobIdsForGroup(label))
+
+    (rounds, many), (once, jobs) = ran("near by rounds", few=0), ran("near at once")
+    assert once == rounds == [(i, i - i % 3) for i in range(36)]
+    assert 3 * jobs < 2 * many, (jobs, many)
+
+
 def test_near_copies_by_simhash(spark):
     """Deletion variants of 16-bit segments: what meets by brute force is connected, however buckets are searched; pairs of similarity 0.8 meet."""
     from loomstead.llm import similar

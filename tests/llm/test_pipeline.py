@@ -126,6 +126,29 @@ def test_chain_by_brute_force(spark, sf):
     assert got == want
 
 
+def test_the_driver_gives_back_what_the_fit_took(spark, sf, monkeypatch):
+    """What the fit of toxicity has freed is not held through the later stages."""
+    import re
+    from pathlib import Path
+
+    import numpy as np
+
+    from loomstead.llm import common
+
+    def held():
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+    taken = [np.ones(3000) for _ in range(4000)]  # 96 MB below the size that is mapped by itself
+    last, most = [taken[i] for i in range(0, 4000, 200)], held()
+    del taken
+    common.give_back()
+    assert held() < most - 60 and len(last) == 20
+    called = []
+    monkeypatch.setattr(corpus_pipeline, "give_back", lambda: called.append(1))
+    corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    assert called == [1]
+
+
 def test_run_leaves_its_results_alone(spark, sf):
     """Staged tables of a stage go once its result is written; the result is whole."""
     import os
